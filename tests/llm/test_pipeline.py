@@ -1,0 +1,21 @@
+"""The pipeline against its operators, and each stage's effect."""
+
+import corpus_pipeline as pipeline
+from tapedeck.llm.common import table
+
+
+def test_pipeline(spark, sf_dir, tmp_path):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    docs = table(spark, sf_dir, "documents")
+    columns, before = docs.columns, docs.count()
+    names = [n for n, _ in pipeline.STAGES]
+    for i, (_, stage) in enumerate(pipeline.STAGES[:-1]):
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == columns
+        out.write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+        n = docs.count()
+        assert n == before if names[i] == "secrets" else 0.6 * before < n < before, names[i]
+        before = n
+    packed = pipeline.run(spark, sf_dir)
+    assert packed.select("doc_id").distinct().count() == before
