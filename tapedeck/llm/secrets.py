@@ -253,8 +253,8 @@ def sql(rules: tuple[Rule, ...] = RULES) -> str:
         p = r.pattern.replace("'", "''")
         parts.append(f"""
       SELECT doc_id, '{r.kind}' AS kind, {rank} AS rank,
-             unnest(list_transform(range(1, len(m) + 1), i -> list_sum(list_transform(list_slice(gap, 1, i), x -> length(x))) + coalesce(list_sum(list_transform(list_slice(m, 1, i - 1), x -> length(x))), 0))) AS start,
-             unnest(list_transform(m, x -> length(x))) AS n, unnest(list_transform(g, x -> length(x))) AS len
+             unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(list_slice(gap, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(m, 1, i - 1), lambda x: length(x))), 0))) AS start,
+             unnest(list_transform(m, lambda x: length(x))) AS n, unnest(list_transform(g, lambda x: length(x))) AS len
       FROM (SELECT doc_id, regexp_extract_all(text, '{p}', 0) AS m, regexp_extract_all(text, '{p}', {r.group}) AS g, string_split_regex(text, '{p}') AS gap
             FROM d WHERE regexp_matches(text, '{p}'))""")
     keep = " OR ".join(f"(rank = {i} AND len >= {r.least})" for i, r in enumerate(rules))
