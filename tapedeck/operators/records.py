@@ -8,6 +8,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..errors import WARNINGS
 from ..functions import fields as codec
@@ -234,6 +235,7 @@ def envelope(df: DataFrame, layout: Layout, *, payload: str = "payload", index:
 
 def from_json(lines: DataFrame, layout: Layout, schema, *, column: str = "value") -> DataFrame:
     """Rows of JSON lines, with or without the envelope; blank lines are skipped."""
-    wrapped = F.from_json(column, f"struct<fields:{schema}>" if isinstance(schema, str) else schema)["fields"]
-    plain = F.from_json(column, schema)
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    wrapped = F.from_json(column, StructType([StructField("fields", kind)]))["fields"]
+    plain = F.from_json(column, kind)
     return lines.where(F.trim(column) != "").select(F.coalesce(wrapped, plain).alias("r")).select("r.*")

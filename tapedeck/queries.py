@@ -229,7 +229,7 @@ def odo_clamp(spark, sf_dir):
     return r.select("l_orderkey", F.size("LINES").cast("bigint").alias("kept"), F.coalesce(F.try_element_at("_errors", F.lit(1))["code"], F.lit("")).alias("code"))
 
 
-@query("SELECT l_orderkey, array_to_string(list_transform(range(1, 4), lambda i: coalesce(list_extract(list(cast(cast(l_quantity AS int) AS varchar) ORDER BY l_linenumber), i), '0')), ',') AS quantities FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, array_to_string(list_transform(range(1, 4), lambda i: coalesce(list_extract(list(cast(cast(l_quantity AS int) AS varchar) ORDER BY l_linenumber, cast(l_quantity AS int)), i), '0')), ',') AS quantities FROM lineitem GROUP BY 1")
 def occurs_fixed(spark, sf_dir):
     layout = parse("01 R.\n 05 Q PIC 9(5) OCCURS 3 TIMES.")
     one = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))).alias("x"))
