@@ -67,13 +67,18 @@ def report(docs: DataFrame, *, shards: int = 8, seed: int = SEED) -> DataFrame:
 
 def sql(shards: int = 8, seed: int = SEED) -> str:
     return f"""
-    WITH r AS (
-      SELECT doc_id, source, coalesce(strlen(text), 0) + 1 AS size, md5('{seed}:' || coalesce(cast(doc_id AS varchar), '')) AS shuffled FROM documents),
+    WITH RECURSIVE steps AS (
+      SELECT range AS i, cast(range AS bigint) AS t, 0 AS k FROM range(256)
+      UNION ALL SELECT i, CASE WHEN t & 1 = 1 THEN xor(t >> 1, 3988292384) ELSE t >> 1 END, k + 1 FROM steps WHERE k < 8),
+    tab AS (SELECT list(t ORDER BY i) AS tab FROM steps WHERE k = 8),
+    r AS (
+      SELECT doc_id, source, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: cast('0x' || h AS bigint)),
+               lambda c, b: xor(c >> 8, list_extract(tab, cast(xor(c & 255, b) + 1 AS int))), 4294967295::bigint), 4294967295) AS text_crc32, coalesce(strlen(text), 0) + 1 AS size, md5('{seed}:' || coalesce(cast(doc_id AS varchar), '')) AS shuffled FROM documents, tab),
     a AS (
       SELECT *, row_number() OVER (PARTITION BY source ORDER BY shuffled, doc_id) - 1 AS rank, count(*) OVER (PARTITION BY source) AS rank_of FROM r),
     b AS (
       SELECT *, row_number() OVER (ORDER BY (2 * rank + 1) / cast(2 * rank_of AS double), source NULLS FIRST, rank) - 1 AS position, count(*) OVER () AS n FROM a),
     c AS (SELECT *, position * {shards} // n AS shard FROM b)
-    SELECT doc_id, cast(size AS bigint) AS size, cast(shard AS int) AS shard,
+    SELECT doc_id, cast(size AS bigint) AS size, text_crc32, cast(shard AS int) AS shard,
            cast(position - (shard * n + {shards - 1}) // {shards} AS bigint) AS slot, 'rows' AS law, source, cast(NULL AS int) AS grown_shard
     FROM c"""
