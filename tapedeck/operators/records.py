@@ -208,7 +208,10 @@ def encode(df: DataFrame, layout: Layout, *, options: Options | None = None, out
         replay = F.unbase64(F.col(raw))
         data = F.when(replay == data, replay).otherwise(data) if verified else F.coalesce(replay, data)
     errors = F.filter(F.array(*faults), lambda e: e.isNotNull()) if faults else F.array()
-    return df.select(*[F.col(c) for c in keep or []], data.alias(out), errors.cast(_ERRORS).alias("_errors"))
+    # A generator of one row: the optimizer doesn't merge what reads the bytes into what makes
+    # them, which would encode a record again for each of its fields.
+    once = F.explode(F.array(F.struct(data.alias(out), errors.cast(_ERRORS).alias("_errors"))))
+    return df.select(*[F.col(c) for c in keep or []], once.alias("_record")).select(*(keep or []), f"_record.{out}", "_record._errors")
 
 
 def envelope(df: DataFrame, layout: Layout, *, payload: str = "payload", index: str = "record_index", options: Options | None = None, raw: str = "off", header: str | None = None, native: bool = False) -> DataFrame:
