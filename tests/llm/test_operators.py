@@ -420,13 +420,13 @@ def test_one_of_each_group_stays(odd):
 
 
 def test_toxicity_held_out_accuracy(spark, sf_dir):
-    big = sf_dir.replace("sf0.001", "sf0.01")
+    big = sf_dir.replace("sf0.001", "sf0.1")  # enough labels of each language
     got = queries.op10_toxicity(spark, big).join(table(spark, big, "labels").select("doc_id", "toxic"), "doc_id")
     held = rows(got.where("held_out"))
     assert sum(r["predicted"] == r["toxic"] for r in held) / len(held) > 0.95
     bad = [r["score"] for r in held if r["toxic"]]
     good = [r["score"] for r in held if not r["toxic"]]
-    assert sum((a > b) + (a == b) / 2 for a in bad for b in good) > 0.8 * len(bad) * len(good)  # few labels at this size
+    assert sum((a > b) + (a == b) / 2 for a in bad for b in good) > 0.95 * len(bad) * len(good)
 
 
 def test_folding_and_exceptions():
