@@ -52,8 +52,15 @@ def to_text(raw: Column, name: str, policy: str = "error") -> Column:
     return F.regexp_replace(text, CONTROLS, "�" if policy == "replace" else "")
 
 
-def unmappable(text: Column) -> Column:
-    return text.rlike(CONTROLS)
+@lru_cache
+def _control_bytes(name: str) -> str:
+    """A class of the Latin-1 characters whose bytes the page maps to ``CONTROLS``."""
+    return "[" + "".join(f"\\x{i:02X}" for i, c in enumerate(page(name)) if c < " " and c not in "\t\n\r") + "]"
+
+
+def unmappable(raw: Column, name: str) -> Column:
+    """Whether any byte is unmappable: told from the bytes, so no text is made for it."""
+    return F.decode(raw, "ISO-8859-1").rlike(_control_bytes(name))
 
 
 def to_bytes(text: Column, name: str) -> Column:

@@ -77,7 +77,7 @@ def _padded(value: Column, f: Field) -> Column:
 
 def _text(f: Field, raw: Column, o: Options) -> Decoded:
     t = codepages.to_text(raw, o.codepage, o.unmappable)
-    error = F.when(codepages.unmappable(t), F.lit("CBKC301")) if o.unmappable == "error" and o.codepage != "ascii" else F.lit(None).cast("string")
+    error = F.when(codepages.unmappable(raw, o.codepage), F.lit("CBKC301")) if o.unmappable == "error" and o.codepage != "ascii" else F.lit(None).cast("string")
     return Decoded(F.rtrim(t) if o.trim else t, t, error)
 
 

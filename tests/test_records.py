@@ -178,3 +178,16 @@ def test_audit_rules(spark):
     a, b = parse("01 R. 05 A PIC X. 05 B PIC 9."), parse("01 R. 05 A PIC 9. 05 B PIC 9.")
     l = {x.source: (x.transformation, x.confidence) for x in audit.lineage(a.table(spark), b.table(spark)).collect()}
     assert l["R.A"] == ("conversion", 0.75) and l["R.B"] == ("direct", 1.0)
+
+
+def test_unmappable_bytes_of_each_page(spark):
+    """A byte is unmappable if its character is a control other than tab, LF and CR; NUL is one."""
+    rows = spark.createDataFrame([(i, bytes([0xC1, i])) for i in range(256)], "i int, b binary")
+    for name in codepages.PAGES:
+        if name == "ascii":
+            continue
+        want = {i for i, c in enumerate(codepages.page(name)) if ord(c) < 0x20 and c not in "\t\n\r"}
+        got = {r.i for r in rows.where(codepages.unmappable(F.col("b"), name)).collect()}
+        assert got == want and 0 in got
+        kept = {r.i for r in rows.where(F.length(codepages.to_text(F.col("b"), name, "skip")) == 1).collect()}
+        assert kept == want
