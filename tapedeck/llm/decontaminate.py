@@ -25,6 +25,8 @@ from pyspark.sql.functions import arrow_udf
 from .common import BROADCAST_LIMIT, blocks, chunks, fresh, ragged, stored, utf8
 
 WINDOW = 8
+#: Proximity for production: finds a word changed, inserted or dropped in each window.
+NEAR = {"slop": 1, "least": 7}
 #: Lower-cases A-Z and turns every byte that is in no word into a space.
 FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
@@ -120,7 +122,7 @@ class Phrases:
         by_rarity = np.argsort(lists, axis=1, kind="stable")
         rarest = by_rarity[:, 0]
         live = np.flatnonzero(lists[np.arange(len(lists)), rarest] > 0)
-        found_w, found_p, near_w, near_p = [], [], [], []
+        found_w, found_p = [], []
         cost = np.cumsum(count[self.windows[live, rarest[live]]])
         for part in np.split(live, np.searchsorted(cost, np.arange(2_000_000, int(cost[-1]) if len(cost) else 0, 2_000_000))):
             t = self.windows[part, rarest[part]]
@@ -128,17 +130,6 @@ class Phrases:
             p = known[ragged(begin[t], count[t])] - np.repeat(rarest[part], count[t])
             ok = (p >= 0) & (p + self.length[w] <= len(term))
             w, p = w[ok], p[ok]
-            if least:
-                hit = np.zeros(len(w), np.int64)
-                for j in range(self.windows.shape[1]):
-                    want = self.windows[w, j]
-                    seen = np.zeros(len(w), bool)
-                    for d in range(-slop, slop + 1):
-                        seen |= term[np.clip(p + j + d, 0, len(term) - 1)] == want
-                    hit += seen & (want >= 0)
-                ok = (hit >= np.minimum(least, self.length[w])) & (doc[p] == doc[p + self.length[w] - 1])
-                near_w.append(w[ok])
-                near_p.append(p[ok])
             for k in range(self.windows.shape[1]):  # the rarest lists first
                 j = by_rarity[w, k]
                 want = self.windows[w, j]
@@ -153,9 +144,8 @@ class Phrases:
         if not all(sure.values()):
             ok = np.array([all(sure[i] for i in range(a, a + n)) for a, n in zip(p.tolist(), self.length[w].tolist())], bool)
             w, p = w[ok], p[ok]
-        q = np.concatenate(near_p).astype(np.int64) if near_p else p[:0]
-        v = np.concatenate(near_w).astype(np.int64) if near_w else w[:0]
-        if not len(p) and not len(q):
+        v, home = self._near(data, start, end, doc, term, known, count, begin, by_rarity, slop, least) if least else (w[:0], p[:0])
+        if not len(p) and not len(v):
             return n_words, none
         cover = np.zeros(len(term) + 1, np.int64)
         np.add.at(cover, p, 1)
@@ -172,12 +162,50 @@ class Phrases:
         for a, b in runs:
             d = int(doc[a])
             out.setdefault(d, ([], set(), set()))[0].append((int(a - base[d]), int(b - base[d])))
-        for k, (ws, ps) in enumerate(((w, p), (v, q))):
-            for pair in np.unique(doc[ps] * len(self.windows) + ws).tolist():
+        for k, (ws, ds) in enumerate(((w, doc[p]), (v, home))):
+            for pair in np.unique(ds * len(self.windows) + ws).tolist():
                 d, x = divmod(pair, len(self.windows))
                 out.setdefault(d, ([], set(), set()))[1 + k].update(self.names[i] for i in self.item[self.first[x] : self.first[x + 1]])
         return n_words, [(d, *x) for d, x in out.items()]
 
+    def _near(self, data: bytes, start, end, doc, term, known, count, begin, by_rarity, slop: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, document) of the near matches. If at most m terms may be missing, one of
+        any m + 1 is there: a window starts from the lists of its m + 1 rarest terms."""
+        spare = self.length - np.minimum(least, self.length)
+        absent = ((self.windows >= 0) & (count[self.windows] == 0)).sum(1)
+        w0, k0 = np.nonzero((np.arange(self.windows.shape[1]) <= spare[:, None]) & (absent <= spare)[:, None])
+        j0 = by_rarity[w0, k0]
+        t0 = self.windows[w0, j0]
+        shifts = np.arange(-slop, slop + 1)
+        cost = np.cumsum(count[t0] * len(shifts))
+        last = len(term) - 1
+        out_w, out_d = [w0[:0]], [w0[:0]]
+        for part in np.split(np.arange(len(w0)), np.searchsorted(cost, np.arange(1_000_000, int(cost[-1]) if len(cost) else 0, 1_000_000))):
+            t = t0[part]
+            at = known[ragged(begin[t], count[t])]
+            w = np.repeat(np.repeat(w0[part], count[t]), len(shifts))
+            p = ((at - np.repeat(j0[part], count[t]))[:, None] + shifts).ravel()
+            home = np.repeat(doc[at], len(shifts))
+            missed = np.zeros(len(w), np.int64)
+            for k in range(self.windows.shape[1]):
+                j = by_rarity[w, k]
+                want = self.windows[w, j]
+                seen = want < 0
+                for d in shifts:
+                    q = np.clip(p + j + d, 0, last)
+                    seen |= (term[q] == want) & (q == p + j + d) & (doc[q] == home)
+                missed += ~seen
+                ok = missed <= spare[w]
+                w, p, home, missed = w[ok], p[ok], home[ok], missed[ok]
+            sure = np.zeros(len(w), bool)
+            for i, (x, y, h) in enumerate(zip(w.tolist(), p.tolist(), home.tolist())):  # equal hashes are no proof
+                places = [range(max(0, y + j - slop), min(last, y + j + slop) + 1) for j in range(self.length[x])]
+                there = sum(any(doc[q] == h and data[start[q] : end[q]] == self.terms[self.windows[x, j]] for q in at) for j, at in enumerate(places))
+                sure[i] = there >= self.length[x] - spare[x]
+            out_w.append(w[sure])
+            out_d.append(home[sure])
+        return np.concatenate(out_w), np.concatenate(out_d)
+
 
 def _hash(word: bytes) -> int:
     total, power = 0, 1
@@ -190,8 +218,9 @@ def find_matches(docs: DataFrame, items: DataFrame, *, text: str = "text", item_
     """``docs`` with one more struct column and that column's name.
 
     n_words; hits: runs of hit words [begin, stop); items: ids of the items of which a
-    window occurs; near: with ``least`` > 0, ids of items of which ``least`` terms of a
-    window stand within ``slop`` positions of their places around its rarest term.
+    window occurs; near: with ``least`` > 0, ids of items of which a window can be laid
+    somewhere over the text so that ``least`` of its terms (all, if it has fewer) stand
+    within ``slop`` positions of their places.
     """
     spark = docs.sparkSession
     (found,) = fresh(docs, "found")
@@ -246,20 +275,23 @@ def hit_words(hits):
 
 
 def report(docs: DataFrame, items: DataFrame, *, min_items: int = 2, **options) -> DataFrame:
-    """One row for each document: what the decontamination query returns."""
+    """One row for each document: what the decontamination query returns; with ``least``
+    also n_near, the number of items that match exactly or nearly."""
     found, name = find_matches(docs.select("doc_id", "text"), items, **options)
     r = F.col(name)
     ids = F.array_sort(r["items"])
+    near = [F.size(F.array_union(r["items"], r["near"])).cast("long").alias("n_near")] if options.get("least") else []
     return found.select(
         "doc_id", r["n_words"].alias("n_words"), hit_words(r["hits"]).alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.size(ids) >= min_items).alias("contaminated"),
+        F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.size(ids) >= min_items).alias("contaminated"), *near,
     )
 
 
 def clean(docs: DataFrame, items: DataFrame, *, min_items: int = 2, **options) -> DataFrame:
-    """The documents that hold windows of fewer than ``min_items`` items, columns as given."""
+    """The documents that hold windows of fewer than ``min_items`` items (with ``least`` > 0
+    near ones too), columns as given."""
     found, name = find_matches(docs, items, **options)
-    return found.where(F.size(F.col(name)["items"]) < min_items).drop(name)
+    return found.where(F.size(F.array_union(F.col(name)["items"], F.col(name)["near"])) < min_items).drop(name)
 
 
 def items_digest(ids: list[str]) -> str:
