@@ -6,17 +6,23 @@ it (1024, 512, 256 or 128 tokens). Tiers are packed from the longest: each windo
 by its tier's pieces, longest first, and its gap is filled with the pieces of shorter tiers,
 the best fitting first, the last one cut to fit. Contexts are powers of two, so a full
 window of any tier needs no padding. What a flush leaves at its end is cut into windows of
-powers of two. Windows of a tier are numbered into step groups of equal token counts.
+powers of two. Windows of a tier are numbered into step groups of equal token counts; the
+last group of a tier in a task may be short.
 
 Each task packs the rows it reads, in flushes of bounded size: no shuffle, no gathered
 group, and a lost task is redone from its input alone. Ids of sequences hold the partition.
+What waits is a copy of a document's remainder, never its whole ids, so a task holds at most
+``FLUSH`` token places and the one text that it is encoding.
 
-Defined results: a null or empty text is one piece, the id 0; equal rows are packed each.
+Defined results: a null or empty text is one piece, the id 0; equal rows are packed each; a
+null doc_id stays null in its pieces; an empty table gives an empty one; other columns,
+whatever their names, are not read; a very long text is encoded in pieces.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import chunks, text_of
 from .tokens import default_vocabulary, vocabulary
 
 TIERS = (1024, 512, 256, 128)
-#: Tokens that are held before they are packed.
-FLUSH = 1 << 20
+#: Token places (of 4 bytes) that are held before they are packed, and what a piece itself takes.
+FLUSH, PIECE = 1 << 20, 64
 #: Tokens of a step group.
 STEP = 8192
 
@@ -38,7 +44,8 @@ _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in _SCHEMA.split(", ")])
 
 
 class Packer:
-    """Packs pieces (document, its ids, start, stop); ``rows`` gathers what is placed."""
+    """Packs pieces (document, its ids from ``start`` on, start, all its tokens); ``rows``
+    gathers what is placed."""
 
     def __init__(self, partition: int, tiers: tuple[int, ...] = TIERS, step: int = STEP):
         self.tiers, self.step = tiers, step
@@ -50,30 +57,27 @@ class Packer:
         self.rows: list[tuple] = []
 
     def add(self, doc_id, ids: np.ndarray) -> None:
-        top, at = self.tiers[0], 0
-        while len(ids) - at >= top:
-            self._window([(doc_id, ids, at, at + top)], top)
+        top, at, n = self.tiers[0], 0, len(ids)
+        while n - at >= top:
+            self._window([(doc_id, ids[at : at + top], at, n)], top)
             at += top
-        if at < len(ids):
-            self._wait((doc_id, ids, at, len(ids)))
-
-    def _wait(self, piece: tuple) -> None:
-        n = piece[3] - piece[2]
-        self.waiting[min(t for t in self.tiers if t >= n)].append(piece)
-        self.held += n
+        if at < n:
+            left = ids[at:].copy()  # a view would keep the whole document
+            self.waiting[min(t for t in self.tiers if t >= len(left))].append((doc_id, left, at, n))
+            self.held += len(left) + PIECE
 
     def _window(self, pieces: list[tuple], tier: int) -> None:
         group = self.of_tier.get(tier, 0) * tier // self.step
         self.of_tier[tier] = self.of_tier.get(tier, 0) + 1
         offset = 0
-        for doc_id, ids, a, b in pieces:
-            self.rows.append((doc_id, a, b - a, zlib.crc32(ids[a:b].tobytes()), len(ids), self.base + self.sequences, offset, tier, self.base + (group << 12) + tier.bit_length()))
-            offset += b - a
+        for doc_id, ids, start, n in pieces:
+            self.rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), n, self.base + self.sequences, offset, tier, self.base + (group << 12) + tier.bit_length()))
+            offset += len(ids)
         self.sequences += 1
 
     def flush(self) -> None:
         """Place all that waits."""
-        size = lambda p: p[3] - p[2]
+        size = lambda p: len(p[1])
         for tier in self.tiers:
             own = sorted(self.waiting[tier], key=size, reverse=True)
             self.waiting[tier] = []
@@ -94,18 +98,15 @@ class Packer:
                 window, gap = [first], tier - size(first)
                 while gap:
                     # The longest of the shorter tiers that fits, else a piece that is cut to fit.
-                    low, high = 0, len(shorter)
-                    while low < high:
-                        mid = (low + high) // 2
-                        low, high = (mid + 1, high) if size(shorter[mid]) <= gap else (low, mid)
+                    low = bisect_right(shorter, gap, key=size)
                     if low:
                         piece = shorter.pop(low - 1)
                     elif shorter or at < len(own):
-                        doc_id, ids, a, b = shorter.pop(0) if shorter else own.pop()
-                        if b - a > gap:
-                            self._keep(shorter, (doc_id, ids, a + gap, b))
-                            b = a + gap
-                        piece = (doc_id, ids, a, b)
+                        doc_id, ids, start, n = shorter.pop(0) if shorter else own.pop()
+                        if len(ids) > gap:
+                            self._keep(shorter, (doc_id, ids[gap:], start + gap, n))
+                            ids = ids[:gap]
+                        piece = (doc_id, ids, start, n)
                     else:
                         break
                     window.append(piece)
@@ -120,26 +121,21 @@ class Packer:
 
     @staticmethod
     def _keep(shorter: list, piece: tuple) -> None:
-        n, low, high = piece[3] - piece[2], 0, len(shorter)
-        while low < high:
-            mid = (low + high) // 2
-            low, high = (mid + 1, high) if shorter[mid][3] - shorter[mid][2] <= n else (low, mid)
-        shorter.insert(low, piece)
+        shorter.insert(bisect_right(shorter, len(piece[1]), key=lambda p: len(p[1])), piece)
 
     def _tail(self, window: list[tuple], tier: int) -> None:
         """The last, short window of a flush: windows of powers of two, the longest first."""
-        left = sum(b - a for _, _, a, b in window)
+        left = sum(len(ids) for _, ids, _, _ in window)
         queue = window[::-1]
         while left:
             length = 1 << (left.bit_length() - 1)
             pieces, need = [], length
             while need:
-                doc_id, ids, a, b = queue.pop()
-                cut = min(b, a + need)
-                pieces.append((doc_id, ids, a, cut))
-                if cut < b:
-                    queue.append((doc_id, ids, cut, b))
-                need -= cut - a
+                doc_id, ids, start, n = queue.pop()
+                pieces.append((doc_id, ids[:need], start, n))
+                if len(ids) > need:
+                    queue.append((doc_id, ids[need:], start + need, n))
+                need -= len(pieces[-1][1])
             self._window(pieces, length)
             left -= length
 
@@ -158,12 +154,14 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: s
 
         packer, v = Packer(TaskContext.get().partitionId(), tiers), vocabulary(path)
         for batch in batches:
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packer.add(key, np.append(v.ids(t.as_py()), np.uint32(0)))
-                if packer.held >= flush:
-                    packer.flush()
-                if len(packer.rows) >= 20_000:
-                    yield packer.batch()
+            for a, b in chunks(batch.column(1), 1 << 20):
+                texts = batch.column(1)[a:b].to_pylist()
+                for key, ids in zip(batch.column(0)[a:b].to_pylist(), v.ids(texts)):
+                    packer.add(key, np.append(ids, np.uint32(0)))
+                    if packer.held >= flush:
+                        packer.flush()
+                    if len(packer.rows) >= 20_000:
+                        yield packer.batch()
         packer.flush()
         yield packer.batch()
 

@@ -1,10 +1,18 @@
 """Token ids and token counts of a byte-level BPE vocabulary, batch by batch.
 
-The vocabulary is read from its ``tokenizers`` file. Merging is done by ``tiktoken`` with
-ranks taken from that file (in such a vocabulary the rank of a merge is the id of what it
-makes, which is checked when the file is loaded; where that doesn't hold, or the file has
-other steps, ``tokenizers`` itself is used). Special strings inside a text become their id,
-as is the library's default. Results are equal to the library's, id for id.
+The vocabulary is read from its ``tokenizers`` file. Batches are encoded by ``tiktoken``'s
+batch call, with ranks taken from that file (in such a vocabulary the rank of a merge is the
+id of what it makes, which is checked when the file is loaded; where that doesn't hold, or
+the file has other steps, ``tokenizers``' own batch call is used). Special strings inside a
+text become their id, as is the library's default. Results are equal to the library's.
+
+Each Arrow batch is cut into groups of near equal UTF-8 bytes, one library call each. Texts
+over ``SPLIT`` characters are first split at safe boundaries, where a token always begins; a
+run of one class of characters without any such place (letters alone, say) stays whole. So a
+call holds about ``GROUP`` bytes, whatever the lengths of the texts.
+
+Defined results: a null or empty text has no tokens; equal rows give equal counts; an empty
+table gives an empty one; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -12,7 +20,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -21,20 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import text_of
+from .common import chunks, text_of
 
-#: Words that a worker's memory of encoded words holds at most, and their longest.
-MEMORY, LONGEST = 300_000, 40
-#: Characters from which a text is split, and so the work of a batch evened out.
-SPLIT = 1 << 16
+#: Characters from which a text is split; bytes of a library call.
+SPLIT, GROUP = 1 << 16, 1 << 18
 # Fixed value: the pre-tokeniser's pattern of byte-level BPE vocabularies (possessive form).
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-# The same for texts of ASCII and Latin letters alone, where Python's own engine is exact.
-_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯ"
-_PLAIN = re.compile(rf"[\t\n\r\x20-\x7e¡-©«-±´¶-¸»¿{_LETTERS}]*")
-_WORDS = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
-# A safe boundary: before a blank that stands between two letters a token always begins.
-_SAFE = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
+# Safe boundaries: before a blank between two letters, and where a run of letters, digits or
+# signs ends. (After an apostrophe no token need begin: it may be part of "'s".)
+_LETTER, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3", r"!-&(-/:-@\[-`{-~\u3001\u3002\uff01\uff0c\uff1f"
+_SAFE = re.compile(f"(?<=[{_LETTER}])(?= [{_LETTER}]|[0-9{_SIGNS}])|(?<=[0-9])(?=[{_LETTER}{_SIGNS}])|(?<=[{_SIGNS}])(?=[{_LETTER}0-9])")
 
 
 def default_vocabulary() -> str:
@@ -50,21 +53,6 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Memory(dict):
-    """Little-endian ids of words met before; emptied when full, so its size is bounded."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        ids = array("I", self.encode(word.encode())).tobytes()
-        if len(word) <= LONGEST:
-            if len(self) >= MEMORY:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 class Vocabulary:
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
@@ -77,65 +65,60 @@ class Vocabulary:
         simple = model["type"] == "BPE" and not spec.get("normalizer") and not spec.get("post_processor") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not model.get("dropout") and not model.get("ignore_merges")
         self.fast = None
         self.special = special
-        self.cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         if simple and in_order and plain_special:
             import tiktoken
 
             alphabet = _byte_alphabet()
             ranks = {bytes(alphabet[c] for c in w): i for w, i in model["vocab"].items() if w not in special}
-            self.fast = tiktoken.Encoding("vocabulary", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.memory = _Memory(self.fast._core_bpe.encode_single_piece)
+            self.fast = tiktoken.Encoding("vocabulary", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=special)
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_file(path)
 
-    def _plain(self, text: str) -> bytes:
-        if _PLAIN.fullmatch(text):
-            return b"".join(map(self.memory.__getitem__, _WORDS.findall(text)))
-        return array("I", self.fast.encode_ordinary(text)).tobytes()
-
-    def ids(self, text: str) -> np.ndarray:
-        """The text's ids as little-endian unsigned 32-bit integers."""
+    def batch(self, texts: list[str]) -> list:
+        """The ids of each text, by one call of the library."""
         if self.fast is None:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-        out, at = [], 0
-        if self.cut:
-            for m in self.cut.finditer(text):
-                out += [self._plain(text[at : m.start()]), array("I", [self.special[m.group()]]).tobytes()]
-                at = m.end()
-        out.append(self._plain(text[at:] if at else text))
-        return np.frombuffer(b"".join(out), "<u4")
+            return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return self.fast.encode_batch(texts, num_threads=1, allowed_special="all")
+
+    def split(self, text: str, size: int = SPLIT) -> list[str]:
+        """Pieces whose tokens, one after another, are the whole text's."""
+        out, at, seek = [], 0, size
+        while self.fast is not None and len(text) - at > size:
+            m = _SAFE.search(text, seek)
+            if not m:
+                break
+            cut = m.start()
+            if any(text.find(s, max(at, cut - len(s) + 1), cut + len(s) - 1) >= 0 for s in self.special):
+                seek = cut + 1
+                continue
+            out.append(text[at:cut])
+            at, seek = cut, cut + size
+        out.append(text[at:] if at else text)
+        return out
+
+    def groups(self, texts: list[str]):
+        """(positions, pieces) of each library call: groups of near equal bytes."""
+        pieces = [(i, p) for i, t in enumerate(texts) for p in (self.split(t) if len(t) > SPLIT else [t])]
+        for group in balanced([len(p.encode()) for _, p in pieces], GROUP):
+            yield group, [pieces[k][0] for k in group], [pieces[k][1] for k in group]
 
     def counts(self, texts: list[str]) -> list[int]:
-        """Token counts of a batch. Long texts are first split at safe boundaries, and the
-        pieces dealt into groups of near equal bytes: the library gets even batches."""
-        pieces: list[tuple[int, str]] = []
-        for i, t in enumerate(texts):
-            pieces += [(i, p) for p in (split_safely(t) if self.fast is not None else [t])]
         out = [0] * len(texts)
-        for group in balanced([len(p) for _, p in pieces], SPLIT * 4):
-            if self.fast is None:
-                got = [len(e) for e in self.library.encode_batch_fast([pieces[k][1] for k in group], add_special_tokens=False)]
-            else:
-                got = [len(self.ids(pieces[k][1])) for k in group]
-            for k, n in zip(group, got):
-                out[pieces[k][0]] += n
+        for _, of, pieces in self.groups(texts):
+            for i, ids in zip(of, self.batch(pieces)):
+                out[i] += len(ids)
         return out
 
-
-def split_safely(text: str, size: int = SPLIT) -> list[str]:
-    """Pieces whose tokens, one after another, are the whole text's."""
-    out, at = [], 0
-    while len(text) - at > size:
-        m = _SAFE.search(text, at + size)
-        if not m:
-            break
-        out.append(text[at : m.start()])
-        at = m.start()
-    out.append(text[at:] if at else text)
-    return out
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        parts: list[list] = [[] for _ in texts]
+        for order, of, pieces in self.groups(texts):
+            for k, i, ids in zip(order, of, self.batch(pieces)):
+                parts[i].append((k, np.array(ids, "<u4")))
+        return [p[0][1] if len(p) == 1 else np.concatenate([ids for _, ids in sorted(p, key=lambda x: x[0])]) for p in parts]
 
 
 def balanced(sizes: list[int], target: int) -> list[list[int]]:
@@ -164,8 +147,8 @@ def token_count(text: Column, path: str | None = None) -> Column:
     @arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
         v, out = vocabulary(path), []
-        for i in range(0, len(texts), 256):
-            out += v.counts([t or "" for t in texts[i : i + 256].to_pylist()])
+        for a, b in chunks(texts):
+            out += v.counts([t or "" for t in texts[a:b].to_pylist()])
         return pa.array(out, pa.int64())
 
     return count.asNondeterministic()(text)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -130,11 +131,34 @@ def test_token_counts_equal_the_library(docs, odd, library):
 def test_ids_equal_the_library_on_odd_texts(library):
     v = tokens.vocabulary(tokens.default_vocabulary())
     assert v.fast is not None
-    for t in ["", " ", "'s 's 'Ll don't '' '", "a b\x85c\x1cd", "²³ Ⅷ 一二 12", "  x   y\n\n z ", "<|endoftext|><|endoftext|>x", "日本語 テスト", "ö̈ß", "_a__b-c", "\t\tx", "x \n", "x  "]:
-        assert v.ids(t).tolist() == library.encode(t, add_special_tokens=False).ids, t
+    odd = ["", " ", "'s 's 'Ll don't '' '", "a b\x85c\x1cd", "²³ Ⅷ 一二 12", "  x   y\n\n z ", "<|endoftext|><|endoftext|>x", "日本語 テスト", "ö̈ß", "_a__b-c", "\t\tx", "x \n", "x  "]
+    assert [x.tolist() for x in v.ids(odd)] == [library.encode(t, add_special_tokens=False).ids for t in odd]
     long = "".join(f"word{i} and it's more " for i in range(20_000))
     assert v.counts([long, "a"]) == [len(library.encode(long).ids), len(library.encode("a").ids)]
-    assert "".join(tokens.split_safely(long)) == long and len(tokens.split_safely(long)) > 3
+    assert v.ids([long])[0].tolist() == library.encode(long).ids
+    assert "".join(v.split(long)) == long and len(v.split(long)) > 3
+
+
+def test_safe_boundaries(library):
+    v, r = tokens.vocabulary(tokens.default_vocabulary()), random.Random(4)
+    parts = ["ab", " ", "  ", "7", "42", "'s", "'", "''", ".", "--", "\n", "日本", "。", "é", "²", "_", "<|endoftext|>", "<|end", "oftext|>", "Ж", "한", "\u0301", "+", "|"]
+    for _ in range(300):
+        t = "".join(r.choice(parts) for _ in range(r.randrange(60)))
+        pieces = v.split(t, 5)
+        assert "".join(pieces) == t
+        assert [i for p in pieces for i in library.encode(p, add_special_tokens=False).ids] == library.encode(t, add_special_tokens=False).ids, t
+    for t in ("日本語。テスト" * 40_000, "QmFzZTY0" * 40_000, "1,2;" * 80_000):  # no blanks
+        assert len(v.split(t)) > 3
+
+
+def test_packing_holds_no_whole_document():
+    packer = packing.Packer(0)
+    for d in range(50):
+        packer.add(d, np.arange(100_010, dtype="<u4"))
+    held = [p for w in packer.waiting.values() for p in w]
+    assert len(held) == 50 and all(len(p[1]) < 1024 and p[1].base is None for p in held)
+    packer.flush()
+    assert sum(r[2] for r in packer.rows) == 50 * 100_010 and packer.held == 0
 
 
 def test_packing_is_an_exact_round_trip(docs, odd, library):
