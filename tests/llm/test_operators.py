@@ -251,6 +251,16 @@ def test_shards(docs, odd):
     assert all(abs(mix[s, k] - n / 8) <= 2 for s, n in total.items() for k in range(8))
 
 
+def test_shards_keep_callers_columns_and_many_buckets(spark, docs):
+    d = docs.select("doc_id", "source", F.lit("mine").alias("bucket"), F.lit(7).alias("rank"), F.lit("x").alias("shard"), F.lit(1).alias("n"))
+    out, shard, slot = shards.interleave(d, doc_id="doc_id", source="source", tie=[])
+    assert out.columns == [*d.columns, shard, slot] and shard != "shard" and out.exceptAll(out).isEmpty()
+    got = rows(out)
+    assert {(r["bucket"], r["rank"], r["shard"], r["n"]) for r in got} == {("mine", 7, "x", 1)}
+    more, *_ = shards.interleave(d, doc_id="doc_id", source="source", tie=[], bucket_rows=0.01)  # 4,096 buckets and more
+    assert Counter(map(tuple, more.collect())) == Counter(map(tuple, out.collect()))
+
+
 # --- personal data ---------------------------------------------------------------------
 
 
