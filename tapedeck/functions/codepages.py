@@ -52,6 +52,11 @@ def to_text(raw: Column, name: str, policy: str = "error") -> Column:
     return F.regexp_replace(text, CONTROLS, "�" if policy == "replace" else "")
 
 
+def has_controls(text: Column) -> Column:
+    """Whether a text made under the policy ``error`` holds an unmappable character."""
+    return text.rlike(CONTROLS[:-1] + NUL + "]")
+
+
 @lru_cache
 def _control_bytes(name: str) -> str:
     """A class of the Latin-1 characters whose bytes the page maps to ``CONTROLS``."""

@@ -25,22 +25,40 @@ def pattern(pic: str) -> str:
     return "^" + "".join(one[t] for t in tokens(pic)) + "$"
 
 
+def _runs(pic: str) -> list[tuple[str, int, int]]:
+    """(token, place, length): neighbouring digit places are one run of the token 9."""
+    out, at = [], 0
+    for t in tokens(pic):
+        kind = "9" if t in "9Z*" else t
+        if kind == "9" and out and out[-1][0] == "9" and out[-1][1] + out[-1][2] == at:
+            out[-1] = ("9", out[-1][1], out[-1][2] + 1)
+        else:
+            out.append((kind, at, len(t)))
+        at += len(t)
+    return out
+
+
 def decode(f: Field, text: Column) -> tuple[Column, Column]:
     """(decimal, error)."""
     kind = f"decimal({max(f.digits, 1)},{f.scale})"
     ok = text.rlike(pattern(f.pic))
-    at, picks = 0, []
-    for t in tokens(f.pic):
-        if t in "9Z*":
-            picks.append(F.translate(F.substring(text, at + 1, 1), " *", "00"))
-        at += len(t)
-    digits = F.concat(*picks) if picks else F.lit("0")
-    shown = F.regexp_replace(text, "[^-+CRDB]", "")
-    negative = shown.rlike("-|CR|DB") if f.signed else F.lit(False)
+    picks = [F.substring(text, at + 1, n) for t, at, n in _runs(f.pic) if t == "9"]
+    digits = F.translate(F.concat(*picks), " *", "00") if picks else F.lit("0")
+    signs = [(t, at, n) for t, at, n in _runs(f.pic) if t in ("+", "-", "CR", "DB")]
+    negative = F.lit(False)
+    for t, at, n in signs:
+        negative = negative | (F.substring(text, at + 1, n) == ("-" if t in "+-" else t))
     whole, part = F.substring(digits, 1, f.digits - f.scale), F.substring(digits, f.digits - f.scale + 1, f.scale)
     number = F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), F.lit("0"), whole, *([F.lit("."), part] if f.scale else []))
     value = F.when(ok, number.cast(kind))
     error = F.when(~F.coalesce(ok, F.lit(False)), F.lit("CBKD421"))
+    if len(signs) > 1:  # marks that contradict each other
+        shown = [F.substring(text, at + 1, n) for _, at, n in signs]
+        minus = [s.isin("-", "CR", "DB") for s in shown]
+        differ = F.lit(False)
+        for m in minus[1:]:
+            differ = differ | (m != minus[0])
+        value, error = F.when(~differ, value), F.when(error.isNotNull(), error).when(differ, F.lit("CBKD422"))
     blank = F.trim(text) == ""
     if f.blank_zero:
         return F.when(blank, F.lit(0).cast(kind)).otherwise(value), F.when(blank, F.lit("CBKD423")).otherwise(error)
@@ -50,10 +68,10 @@ def decode(f: Field, text: Column) -> tuple[Column, Column]:
 def encode(f: Field, digits: Column, negative: Column) -> Column:
     """The text of all digits (padded to the mask's) under the mask."""
     out, used = [], 0
-    for t in tokens(f.pic):
-        if t in "9Z*":
-            used += 1
-            out.append(F.substring(digits, used, 1))
+    for t, _, n in _runs(f.pic):
+        if t == "9":
+            out.append(F.substring(digits, used + 1, n))
+            used += n
         elif t == "+":
             out.append(F.when(negative, F.lit("-")).otherwise(F.lit("+")))
         elif t == "-":

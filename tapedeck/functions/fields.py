@@ -1,12 +1,16 @@
 """Field codecs as Column builders: bytes at an offset to a value, a lossless text and an
 error code (null if none), and back. Only built-in functions; nothing runs in Python.
 
-Validity is tested before anything is cast, so ANSI mode never raises for bad bytes.
+Numbers of up to 18 digits are read as one whole number (``try_cast`` is null for bytes that
+are no digits), and the value, its text and the test for faults all refer to that number, so
+it is worked out once. ``good`` tells from the value alone that a field has no fault: the
+codes are looked for only in records where some field is not good.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -15,13 +19,11 @@ from pyspark.sql import functions as F
 from ..plans.layout import Field
 from . import codepages, edited
 
-NONE = F.lit
-
-
 class Decoded(NamedTuple):
     value: Column
     text: Column
     error: Column
+    good: Column  # never null; true: no error and no warning (false says nothing)
 
 
 class Encoded(NamedTuple):
@@ -52,12 +54,32 @@ def slice_of(payload: Column, offset, size) -> Column:
     return payload.substr(as_column(offset, 1), as_column(size))
 
 
+LONG = 18  # digits that a bigint holds
+
+
+def _scaled(number: Column, n: int, scale: int) -> Column:
+    """A whole number as a decimal with an implied point."""
+    kind = f"decimal({max(n, 1)},{scale})"
+    if not scale:
+        return number.cast(kind)
+    return (number.cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-scale)).cast(f"decimal({scale},{scale})")).cast(kind)
+
+
 def _decimal(digits: Column, negative: Column, n: int, scale: int) -> Column:
     """Digits (all of them valid) as a decimal with an implied point."""
-    signed = F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), digits)
+    sign = F.when(negative, F.lit("-")).otherwise(F.lit(""))
     if scale:
-        signed = F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), F.substring(digits, 1, n - scale), F.lit("."), F.substring(digits, n - scale + 1, scale))
-    return signed.cast(f"decimal({max(n, 1)},{scale})")
+        digits = F.concat(F.substring(digits, 1, n - scale), F.lit("."), F.substring(digits, n - scale + 1, scale))
+    return F.concat(sign, digits).cast(f"decimal({max(n, 1)},{scale})")
+
+
+def _number(digits: Column, negative: Column, valid: Column, n: int, scale: int) -> Column:
+    """Decimal of ``digits``, or null unless ``valid`` and all are digits. The text may hold
+    any characters but blanks, signs and points."""
+    if n <= LONG:
+        whole = digits.try_cast("bigint")
+        return _scaled(F.when(valid, F.when(negative, -whole).otherwise(whole)), n, scale)
+    return F.when(valid & digits.rlike(f"^[0-9]{{{n}}}$"), _decimal(digits, negative, n, scale))
 
 
 def _plain(value: Column) -> Column:
@@ -77,55 +99,76 @@ def _padded(value: Column, f: Field) -> Column:
 
 def _text(f: Field, raw: Column, o: Options) -> Decoded:
     t = codepages.to_text(raw, o.codepage, o.unmappable)
-    error = F.when(codepages.unmappable(raw, o.codepage), F.lit("CBKC301")) if o.unmappable == "error" and o.codepage != "ascii" else F.lit(None).cast("string")
-    return Decoded(F.rtrim(t) if o.trim else t, t, error)
+    good, error = F.lit(True), F.lit(None).cast("string")
+    if o.unmappable == "error" and o.codepage != "ascii":
+        good = ~codepages.has_controls(t)
+        error = F.when(codepages.unmappable(raw, o.codepage), F.lit("CBKC301"))
+    return Decoded(F.rtrim(t) if o.trim else t, t, error, F.coalesce(good, F.lit(False)))
+
+
+_DIGITS = "0123456789"
+# Last characters of signed ASCII numbers, digits 0 to 9.
+_PLUS, _MINUS = "{ABCDEFGHI", "}JKLMNOPQR"
+_PLUS_OUT, _MINUS_OUT = "ABCDEFGHIJ", "KLMNOPQRST"  # stand for a signed last digit below
+
+
+def _latin(zone: int) -> str:
+    """The ten characters of a zone's bytes in Latin-1."""
+    return "".join(chr(zone << 4 | d) for d in range(10))
+
+
+def _marked(raw: Column, plain: str, plus: str, minus: str) -> Column:
+    """One character for each byte: digits of the plain zone as they are, signed ones as the
+    letters of ``_PLUS_OUT`` and ``_MINUS_OUT``, and ``x`` for what a cast would forgive."""
+    pairs = {c: "x" for c in [*map(chr, range(33)), *_DIGITS, *"+-.ABCDEFGHIJKLMNOPQRST", "\x7f", *map(chr, range(128, 161))]}
+    for found, stands in ((plain, _DIGITS), (plus, _PLUS_OUT), (minus, _MINUS_OUT)):
+        pairs |= dict(zip(found, stands))
+    pairs = {a: b for a, b in pairs.items() if a != b and a != "\0"}
+    return F.translate(F.decode(raw, "ISO-8859-1"), "".join(pairs), "".join(pairs.values()))
 
 
 def _zoned(f: Field, raw: Column, o: Options) -> Decoded:
     if f.sign:
         return _separate(f, raw, o)
     ebcdic = o.codepage != "ascii"
-    if ebcdic:
-        h = F.hex(raw)
-        last = "[CDF]" if f.signed else "F"
-        ok = h.rlike(f"^(F[0-9]){{{f.digits - 1}}}{last}[0-9]$")
-        digits = F.regexp_replace(h, "(.)(.)", "$2")
-        negative = F.substring(h, 2 * f.digits - 1, 1) == "D"
-        blank = raw == F.lit(b"\x40" * f.size)
+    t = _marked(raw, _latin(0xF), _latin(0xC), _latin(0xD)) if ebcdic else _marked(raw, _DIGITS, _PLUS, _MINUS)
+    whole = F.length(raw) == f.size
+    if f.signed:
+        last = F.substring(t, f.digits, 1)
+        digits = F.concat(F.substring(t, 1, f.digits - 1), F.translate(last, _PLUS_OUT + _MINUS_OUT, 2 * _DIGITS))
+        value = _number(digits, last.between("K", "T"), whole, f.digits, f.scale)
     else:
-        t = F.decode(raw, "ISO-8859-1")
-        ok = t.rlike(rf"^[0-9]{{{f.digits - 1}}}" + (r"[0-9{}A-R]$" if f.signed else "[0-9]$"))
-        digits = F.translate(t, "{ABCDEFGHI}JKLMNOPQR", "01234567890123456789")
-        negative = F.substring(t, f.digits, 1).rlike("[}J-R]")
-        blank = raw == F.lit(b" " * f.size)
-    value = _ok(ok, _decimal(digits, negative, f.digits, f.scale))
+        value = _number(t, F.lit(False), whole, f.digits, f.scale)
+    error = F.when(value.isNull(), F.lit("CBKD411"))
+    good = value.isNotNull()
     if f.blank_zero:
+        blank = raw == F.lit((b"\x40" if ebcdic else b" ") * f.size)
         value = F.when(blank, F.lit(0).cast(f"decimal({f.digits},{f.scale})")).otherwise(value)
-        error = F.when(blank, F.lit("CBKD412")).otherwise(_error(ok, "CBKD411"))
-    else:
-        error = _error(ok, "CBKD411")
-    return Decoded(value, _padded(value, f), error)
+        error = F.when(blank, F.lit("CBKD412")).otherwise(error)
+        good = ~F.coalesce(blank, F.lit(True)) & good
+    return Decoded(value, _padded(value, f), error, good)
 
 
 def _separate(f: Field, raw: Column, o: Options) -> Decoded:
     t = codepages.to_text(raw, o.codepage)
     head = f.sign == "leading"
     mark, digits = (F.substring(t, 1, 1), F.substring(t, 2, f.digits)) if head else (F.substring(t, f.digits + 1, 1), F.substring(t, 1, f.digits))
-    ok = mark.rlike("[-+ 0]") & digits.rlike(f"^[0-9]{{{f.digits}}}$")
-    value = _ok(ok, _decimal(digits, mark == "-", f.digits, f.scale))
-    return Decoded(value, _padded(value, f), _error(ok, "CBKD411"))
+    if f.digits <= LONG:  # what a cast would forgive is made invalid
+        digits = F.translate(digits, " +-.\t\n\r\x0b\x0c", "xxxxxxxxx")
+    value = _number(digits, mark == "-", mark.isin("-", "+", " ", "0") & (F.length(raw) == f.size), f.digits, f.scale)
+    return Decoded(value, _padded(value, f), F.when(value.isNull(), F.lit("CBKD411")), value.isNotNull())
 
 
 def _packed(f: Field, raw: Column, o: Options) -> Decoded:
     h = F.hex(raw)
     n = 2 * f.size - 1
-    sign = "[A-F]" if f.signed else "F"
-    pad = "0" if f.digits < n else ""
-    ok = h.rlike(f"^{pad}[0-9]{{{f.digits}}}{sign}$")
-    digits = F.substring(h, n - f.digits + 1, f.digits)
-    negative = F.substring(h, n + 1, 1).isin("B", "D") if f.signed else F.lit(False)
-    value = _ok(ok, _decimal(digits, negative, f.digits, f.scale))
-    return Decoded(value, _plain(value), _error(ok, "CBKD401"))
+    sign = F.substring(h, n + 1, 1)
+    negative = sign.isin("B", "D") if f.signed else F.lit(False)
+    valid = sign.isin("A", "B", "C", "D", "E", "F") if f.signed else sign == "F"
+    if f.digits < n:  # the spare digit must be zero
+        valid = valid & F.startswith(h, F.lit("0"))
+    value = _number(F.substring(h, n - f.digits + 1, f.digits), negative, valid, f.digits, f.scale)
+    return Decoded(value, _plain(value), F.when(value.isNull(), F.lit("CBKD401")), value.isNotNull())
 
 
 _INTEGERS = {(16, True): "smallint", (16, False): "int", (32, True): "int", (32, False): "bigint", (64, True): "bigint", (64, False): "decimal(20,0)"}
@@ -143,7 +186,7 @@ def _binary(f: Field, raw: Column, o: Options) -> Decoded:
         u = F.conv(F.hex(raw), 16, 10).cast("bigint")
         n = F.when(u >= 1 << (f.bits - 1), u - (1 << f.bits)).otherwise(u) if f.signed else u
         value = _ok(ok, n.cast(_INTEGERS[f.bits, f.signed]))
-    return Decoded(value, _plain(value), _error(ok, "CBKD301"))
+    return Decoded(value, _plain(value), _error(ok, "CBKD301"), value.isNotNull())
 
 
 def _bits(raw: Column) -> Column:
@@ -178,12 +221,13 @@ def _float(f: Field, raw: Column, o: Options) -> Decoded:
         special = F.when(exponent == top, F.when(fraction == 0, F.lit("CBKD432")).otherwise(F.lit("CBKD431")))
     ok = F.length(raw) == f.size
     value = _ok(ok, F.when(negative, -value).otherwise(value).cast("float" if single else "double"))
-    return Decoded(value, _plain(value), F.when(~ok, F.lit("CBKD301")).otherwise(special))
+    return Decoded(value, _plain(value), F.when(~ok, F.lit("CBKD301")).otherwise(special), value.isNotNull())
 
 
 def _edited(f: Field, raw: Column, o: Options) -> Decoded:
     value, error = edited.decode(f, codepages.to_text(raw, o.codepage))
-    return Decoded(value, F.when(value == 0, F.lit("0")).otherwise(_plain(value)), error)
+    good = value.isNotNull() & (value != 0) if f.blank_zero else value.isNotNull()
+    return Decoded(value, F.when(value == 0, F.lit("0")).otherwise(_plain(value)), error, F.coalesce(good, F.lit(False)))
 
 
 _DECODERS = {"text": _text, "zoned": _zoned, "packed": _packed, "binary": _binary, "float": _float, "double": _float, "edited": _edited, "alias": _text}
@@ -191,10 +235,15 @@ _DECODERS = {"text": _text, "zoned": _zoned, "packed": _packed, "binary": _binar
 
 def decode(f: Field, payload: Column, offset, o: Options) -> Decoded:
     """One element of ``f`` at ``offset``. A record that ends before it: CBKD301."""
-    d = _DECODERS[f.kind](f, slice_of(payload, offset, f.size), o)
+    raw = slice_of(payload, offset, f.size)
+    d = _DECODERS[f.kind](f, raw, o)
     end = (F.lit(offset) if isinstance(offset, int) else offset) + f.size
     short = F.length(payload) < end
-    return Decoded(F.when(~short, d.value), F.when(~short, d.text), F.when(short, F.lit("CBKD301")).otherwise(d.error))
+    error = F.when(short, F.lit("CBKD301")).otherwise(d.error)
+    if f.kind in ("zoned", "packed") and not f.blank_zero:  # null already, if any byte is missing
+        return Decoded(d.value, d.text, error, d.good)
+    there = F.coalesce(~short, F.lit(False))
+    return Decoded(F.when(there, d.value), F.when(there, d.text), error, there & d.good)
 
 
 def condition(f: Field, parent: Column) -> Column:
@@ -218,12 +267,11 @@ def _fits(value: Column, f: Field) -> tuple[Column, Column, Column]:
     """(all digits, whether negative, error) of a value with the field's scale."""
     exact = value.cast("decimal(38,18)")
     scaled = F.round(exact, f.scale)
-    whole = F.regexp_replace(F.abs(scaled.cast(f"decimal(38,{f.scale})")).cast("string"), "\\.", "")
-    trimmed = F.regexp_replace(whole, "^0+(?=.)", "")
-    error = F.when(scaled != exact, F.lit("CBKE505")).when(F.length(trimmed) > f.digits, F.lit("CBKE510"))
+    whole = F.ltrim(F.replace(F.abs(scaled).cast(f"decimal(38,{f.scale})").cast("string"), F.lit("."), F.lit("")), F.lit("0"))
+    error = F.when(scaled != exact, F.lit("CBKE505")).when(F.length(whole) > f.digits, F.lit("CBKE510"))
     if not f.signed:
         error = F.when(scaled < 0, F.lit("CBKE501")).otherwise(error)
-    return F.lpad(trimmed, f.digits, "0"), (scaled < 0) & (trimmed != "0"), error
+    return F.lpad(whole, f.digits, "0"), (scaled < 0) & (whole != ""), error
 
 
 def _encode_text(f: Field, value: Column, o: Options) -> Encoded:
@@ -241,14 +289,15 @@ def _encode_zoned(f: Field, value: Column, o: Options) -> Encoded:
         mark = F.when(negative, F.lit("-")).otherwise(F.lit("+"))
         return Encoded(codepages.to_bytes(F.concat(mark, digits) if f.sign == "leading" else F.concat(digits, mark), o.codepage), error)
     head, last = F.substring(digits, 1, f.digits - 1), F.substring(digits, f.digits, 1)
+    blank = b"\x40" if ebcdic else b" "
     if ebcdic:
-        zone = F.when(negative, F.lit("D")).otherwise(F.when(value.cast("decimal(38,18)") == 0, F.lit("F")).otherwise(F.lit("C"))) if f.signed else F.lit("F")
-        data = F.unhex(F.concat(F.regexp_replace(head, "(.)", "F$1"), zone, last))
-        blank = b"\x40"
+        last_of = lambda zone: F.translate(last, _DIGITS, _latin(zone))
+        plus = F.when(F.ltrim(digits, F.lit("0")) == "", last_of(0xF)).otherwise(last_of(0xC))  # zero has the plain zone
+        head = F.translate(head, _DIGITS, _latin(0xF))
+        end = F.when(negative, last_of(0xD)).otherwise(plus) if f.signed else last_of(0xF)
     else:
-        signed = F.when(negative, F.translate(last, "0123456789", "}JKLMNOPQR")).otherwise(F.translate(last, "0123456789", "{ABCDEFGHI}")) if f.signed else last
-        data = F.encode(F.concat(head, signed), "ISO-8859-1")
-        blank = b" "
+        end = F.when(negative, F.translate(last, _DIGITS, _MINUS)).otherwise(F.translate(last, _DIGITS, _PLUS)) if f.signed else last
+    data = F.encode(F.concat(head, end), "ISO-8859-1")
     if f.blank_zero:
         data = F.when(value.cast("decimal(38,18)") == 0, F.lit(blank * f.size)).otherwise(data)
     return Encoded(data, error)

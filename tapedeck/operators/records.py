@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..errors import WARNINGS
+from ..functions import codepages
 from ..functions import fields as codec
 from ..functions.fields import Options
 from ..plans.layout import Field, Layout, project
@@ -32,13 +33,22 @@ def _together(faults: list) -> Column:
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
+def _every(tests: list[Column]) -> Column:
+    """All of them, as a balanced tree."""
+    if not tests:
+        return F.lit(True)
+    while len(tests) > 1:
+        tests = [a & b for a, b in zip(tests[::2], tests[1::2])] + ([tests[-1]] if len(tests) % 2 else [])
+    return tests[0]
+
+
 class Plan:
     """The expressions of a layout over a payload column."""
 
     def __init__(self, layout: Layout, payload: Column, options: Options, *, lossless: bool = False, strict_arrays: bool = False, conditions: bool = True):
         self.layout, self.payload, self.o = layout, payload, options
         self.lossless, self.strict, self.conditions = lossless, strict_arrays, conditions
-        self.errors: list[Column] = []
+        self.good: list[Column] = []  # of what lies outside arrays: true where there is no fault
         self.counters = {f.counter: f for f in layout.walk() if f.counter}
 
     def _fault(self, error: Column, f: Field, offset) -> Column:
@@ -55,8 +65,21 @@ class Plan:
                     faults += more
             return F.struct(*parts), faults
         d = codec.decode(f, self.payload, offset, self.o)
+        if not nested:
+            self.good.append(d.good)
         return (d.text if self.lossless else d.value), [self._fault(d.error, f, offset)]
 
+    def _clean(self, f: Field, value: Column) -> Column:
+        """Whether a decoded element can have no fault, told from its value alone."""
+        if f.kind == "group":
+            parts = [c for c in f.children if c.kind != "condition" and not (c.filler and not self.layout.emit_filler)]
+            each = lambda c: lambda v: self._clean(c, v)
+            return _every([F.forall(value[c.name], each(c)) if c.array else self._clean(c, value[c.name]) for c in parts])
+        good = value.isNotNull()
+        if f.kind in ("text", "alias") and self.o.unmappable == "error" and self.o.codepage != "ascii":
+            good = good & ~codepages.has_controls(value)
+        return F.coalesce(good & (value != 0) if f.blank_zero else good, F.lit(False))
+
     def _named(self, f: Field, base, origin: int, nested: bool) -> list[tuple[str, Column, list[Column]]]:
         """(name, value, faults) of a field below ``base``, the place of what starts at ``origin``."""
         if f.kind == "condition" or f.filler and not self.layout.emit_filler:
@@ -90,23 +113,28 @@ class Plan:
         if f.counter:
             n, _, fault = self.count(f)
             faults.append(self._fault(fault, f, offset))
+            self.good.append(fault.isNull())
         else:
             n = F.lit(f.occurs)
         indices = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
         place = lambda i: i * f.size + offset
         value = F.transform(indices, lambda i: self._one(f, place(i), True)[0])
 
+        if not nested:
+            self.good.append(F.forall(value, lambda v: self._clean(f, v)))
         inside = lambda i: _together(self._one(f, place(i), True)[1])
         return value, [*faults, Many(F.flatten(F.transform(indices, inside)))]
 
     def columns(self) -> tuple[list[Column], Column]:
-        """The record's columns and its array of errors."""
+        """The record's columns and its array of errors. The codes and places of faults are
+        worked out only for records in which some field isn't plainly good."""
         columns, faults = [], []
         for f in self.layout.top():
             for name, value, more in self._named(f, f.offset, f.offset, False):
                 columns.append(value.alias(name))
                 faults += more
-        return columns, _together(faults)
+        none = F.array().cast(_ERRORS)
+        return columns, F.when(_every(self.good), none).otherwise(_together(faults)) if faults else none
 
 
 def decode(df: DataFrame, layout: Layout, *, payload: str = "payload", options: Options | None = None, select: list[str] | None = None, lossless: bool = False, mode: str = "permissive", keep: list[str] | None = None, strict_arrays: bool = False) -> DataFrame:
@@ -122,14 +150,20 @@ def decode(df: DataFrame, layout: Layout, *, payload: str = "payload", options:
     if mode == "off":
         return df.select(*kept, *columns)
     out = df.select(*kept, *columns, errors.alias("_errors"))
-    real = F.filter("_errors", lambda e: ~e["code"].isin(*WARNINGS))
     if mode == "permissive":
         return out
+    real = F.filter("_errors", lambda e: ~e["code"].isin(*WARNINGS))
     if mode == "drop":
-        return out.where(F.size(real) == 0).drop("_errors")
-    if mode == "fail":
-        return out.where(F.when(F.size(real) > 0, F.raise_error(F.concat(real[0]["code"], F.lit(": "), real[0]["field_path"]))).otherwise(F.lit(True))).drop("_errors")
-    raise ValueError(f"mode {mode}")
+        keeps = F.size(real) == 0
+    elif mode == "fail":
+        keeps = F.when(F.size(real) > 0, F.raise_error(F.concat(real[0]["code"], F.lit(": "), real[0]["field_path"])).cast("boolean")).otherwise(F.lit(True))
+    else:
+        raise ValueError(f"mode {mode}")
+    # A filter would be pushed below the projection, and each field decoded twice: for the
+    # filter and for the value. Rows are left out by a generator of one row or none instead.
+    once = F.when((F.size("_errors") == 0) | keeps, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
+    names = [c for c in out.columns if c != "_errors"]
+    return out.select(*[F.col(f"`{c}`") for c in names], once.alias("_keep")).select(*[F.col(f"`{c}`") for c in names], F.explode("_keep").alias("_kept")).drop("_kept")
 
 
 def encode(df: DataFrame, layout: Layout, *, options: Options | None = None, out: str = "payload", keep: list[str] | None = None, variable: bool = True, raw: str | None = None, verified: bool = False) -> DataFrame:
@@ -221,19 +255,30 @@ def envelope(df: DataFrame, layout: Layout, *, payload: str = "payload", index:
     ``record_index`` counts from 1. Numbers are texts unless ``native``.
     """
     o = options or Options(layout.codepage)
-    columns, errors = Plan(layout, F.col(payload), o, lossless=not native, conditions=False).columns()
+    plan = Plan(layout, F.col(payload), o, lossless=not native, conditions=False)
+    columns, errors = plan.columns()
     meta = [
         F.lit(SCHEMA_ID).alias("schema"), F.col(index).alias("record_index"), F.lit(o.codepage).alias("codepage"),
         F.length(payload).alias("length"), F.lit(layout.fingerprint).alias("schema_fingerprint"),
     ]
-    extra = []
+    extra, extra_names = [], ["raw_b64"]
     if raw == "record":
         extra = [F.base64(payload).alias("raw_b64")]
     elif raw == "record+rdw":
         extra = [F.base64(F.concat(F.col(header or "header"), F.col(payload))).alias("raw_b64")]
     elif raw == "field":
-        extra = [F.base64(codec.slice_of(F.col(payload), f.offset, f.size)).alias(f"{f.name}_raw_b64") for f in layout.top() if f.kind != "group" and not f.array]
-    return df.select(F.to_json(F.struct(*meta, F.struct(*columns).alias("fields"), *columns, *extra), {"ignoreNullFields": "false"}).alias("value"), errors.alias("_errors"))
+        singles = [f for f in layout.top() if f.kind not in ("group", "condition") and not f.array]
+        extra, extra_names = [F.base64(codec.slice_of(F.col(payload), f.offset, f.size)).alias(f"{f.name}_raw_b64") for f in singles], [f"{f.name}_raw_b64" for f in singles]
+    else:
+        extra_names = []
+    # Two projections: what is decoded in the first is referred to twice in the second.
+    names = [f"_{i}" for i in range(len(columns))]
+    said = [f.name for f in plan.layout.top() if f.kind != "condition" and not (f.filler and not layout.emit_filler)]
+    once = df.select(*[c.alias(n) for c, n in zip(columns, names)], errors.alias("_errors"), F.struct(*meta).alias("_meta"), F.struct(F.lit(0).alias("_"), *extra).alias("_extra"))
+    flat = [F.col(n).alias(s) for n, s in zip(names, said)]
+    head = [F.col("_meta")[k].alias(k) for k in ("schema", "record_index", "codepage", "length", "schema_fingerprint")]
+    tail = [F.col("_extra")[k].alias(k) for k in extra_names]
+    return once.select(F.to_json(F.struct(*head, F.struct(*flat).alias("fields"), *flat, *tail), {"ignoreNullFields": "false"}).alias("value"), "_errors")
 
 
 def from_json(lines: DataFrame, layout: Layout, schema, *, column: str = "value") -> DataFrame:
