@@ -2,21 +2,31 @@
 
 Texts are folded first: A-Z to lower case, look-alike letters of other scripts and digits
 or signs that stand for letters to Latin ones, all else that is no letter to a blank. An
-entry is a whole word or the beginning of words. Hits inside an exception phrase don't
+entry is a whole word, or the beginning of words. Hits inside an exception phrase don't
 count. The hits' weights, as a sum and relative to the text's length, give the score.
 
 Entries, weights and the final curve are learnt from labelled rows. At most ``rows`` of
 each label are used (those with the least MD5 of their id; documented bound), whatever the
-table's size; scoring covers every whole text.
+table's size, and weighted so that the labels count as they occur; scoring covers every whole
+text. A word becomes an entry if it stands in more toxic rows than chance allows for any of
+the words looked at, in as many different surroundings (so the words of one much copied text
+don't), and nine of ten rows that hold it are toxic. A beginning of words does only if at
+least ``WORDS`` different words have it, none of them in more than half of its rows: what
+one word explains is left to the whole word.
 
 Defined results: null and empty texts score as texts without hits; several labels of one
-id count as toxic if any does; without labels the seed words and fixed weights are used.
+id count as toxic if any does; labels without a row teach nothing; without labels, or with
+labels of one sort alone, the seed words and fixed weights are used; equal rows have equal
+scores; a text of any length is folded and scored whole, in time in proportion to its length
+and hits; columns of any other names stay as they are; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,6 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -32,8 +43,11 @@ from .common import doc_crc_mod, fresh, stored
 
 ROWS = 3000  # labelled rows of each label that teach
 ENTRIES = 2000  # entries of a lexicon at most
+WORDS = 4  # different words that a beginning stands for at least
+SHORTEST, LONGEST = 3, 8  # letters of a beginning
+SURE = 0.01  # chance that any one entry is there by chance
 SEEDS = ("idiot", "stupid", "moron", "loser", "scum", "worthless", "pathetic", "disgusting")
-EXCEPTIONS = ("trash can", "trash cans", "trash bin", "clown fish", "loser bracket")
+EXCEPTIONS = ("trash can", "trash cans", "trash bin", "clown fish", "circus clown", "clown at the circus", "loser bracket")
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = dict(zip("авекмнорстухіјѕԁɡһӏԛԝοαενιρτυχκμ", "abekmhopctyxijsdghlqwoaeviptuxkm"))
@@ -41,9 +55,19 @@ LOOKALIKES = dict(zip("авекмнорстухіјѕԁɡһӏԛԝοαενιρτ
 DIGITS = dict(zip("0134578", "oieastb"))
 SIGNS = dict(zip("@$!|+€", "asiite"))
 _SIGN = re.compile(r"(?<=[^\W_])[@$!|+€](?=[^\W_])")
-_FOLD: dict[int, str] = {c: " " for c in range(128) if not chr(c).isalpha()} | {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
+class _Folding(dict):
+    """What each code point becomes; those not listed are looked up once."""
+
+    def __missing__(self, c: int) -> str:
+        kind = unicodedata.category(chr(c))
+        self[c] = out = chr(c) if kind[0] == "L" else "" if kind in ("Mn", "Me", "Cf") else " "
+        return out
+
+
+_FOLD = _Folding({ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 _FOLD |= {ord(a): b for a, b in DIGITS.items()} | {ord(a): b for a, b in LOOKALIKES.items()} | {ord(a.upper()): b for a, b in LOOKALIKES.items() if len(a.upper()) == 1 and ord(a.upper()) > 127}
-_FOLD |= {0x200B: "", 0x200C: "", 0x200D: "", 0xAD: "", 0xFEFF: "", 0x2019: " ", 0x2013: " ", 0x2014: " ", 0xA0: " "}
 _FOLD |= {c: chr(c - 0xFEE0).lower() for c in (*range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B))}
 
 
@@ -71,7 +95,9 @@ class Lexicon:
         for end, (size, weight) in _automaton(self).iter(folded):
             (free if weight is None else hits).append((end - size + 1, end, weight))
         if free and hits:
-            hits = [h for h in hits if not any(a <= h[0] and h[0] <= b for a, b, _ in free)]
+            free.sort()
+            starts, upto = [f[0] for f in free], np.maximum.accumulate([f[1] for f in free]).tolist()
+            hits = [h for h in hits if not (k := bisect_right(starts, h[0])) or upto[k - 1] < h[0]]
         # The heaviest entry counts where several begin at one place.
         best: dict[int, float] = {}
         for a, _, w in hits:
@@ -101,99 +127,100 @@ def _automaton(lexicon: Lexicon):
     return a
 
 
-def _terms(text: str) -> set[str]:
-    out = set()
-    for w in set(fold(text).split()):
-        if len(w) >= 4:
-            out.add(f" {w} ")
-            out.update(f" {w[:n]}" for n in range(4, min(9, len(w) + 1)))
+def terms(text: str) -> set[tuple[str, int]]:
+    """(entry, its surroundings) of every word and beginning of words of a text."""
+    words, out = fold(text).split(), set()
+    for before, w, after in zip(["", *words], words, [*words[1:], ""]):
+        around = xxhash.xxh64_intdigest(f"{before} {after}") >> 1
+        out.add((f" {w} ", around))
+        out.update((f" {w[:n]}", around) for n in range(SHORTEST, min(LONGEST + 1, len(w))))
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, rows: int = ROWS, entries: int = ENTRIES, least: int = 4, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+def chance(bad: int, good: int, share: float) -> float:
+    """-log of the chance bound that ``bad`` of bad + good rows are toxic, by their share."""
+    n = bad + good
+    return sum(k * math.log(k / (n * q)) for k, q in ((bad, share), (good, 1 - share)) if k)
+
+
+def choose(rows: list[dict], looked: int, n_bad: int, n_good: int, weight: float, entries: int) -> list[tuple[str, float]]:
+    """Entries and weights. rows: term, bad and good (rows that hold it), around (different
+    surroundings in toxic rows), words and most (of a beginning: its different words in toxic
+    rows, and the rows of its commonest); ``looked``: all terms looked at, these being those that
+    may pass; ``weight``: what a harmless row counts."""
+    share, need = n_bad / (n_bad + n_good), math.log(max(1, looked) / SURE)
+    out = []
+    for r in rows:
+        bad, good = r["bad"], r["good"]
+        support = min(bad, r["around"])
+        if support * (n_bad + n_good) <= (support + good) * n_bad or chance(support, good, share) < need:
+            continue
+        if bad < 9 * good * weight or not r["term"].endswith(" ") and (r["words"] < WORDS or 2 * r["most"] > bad):
+            continue
+        out.append((r["term"], round(math.log((bad + 0.5) / (n_bad + 1)) - math.log((good + 0.5) / (n_good + 1)), 6), support))
+    out.sort(key=lambda e: (-e[2] * e[1], e[0]))
+    return sorted((t, w) for t, w, _ in out[:entries])
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, rows: int = ROWS, entries: int = ENTRIES, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """A lexicon from at most ``rows`` labelled rows of each label."""
     spark = docs.sparkSession
-    lab = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    lab = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") != 0, 1).otherwise(0)).alias("toxic"))
     order = [F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id"]
-    chosen = [r for k in (0, 1) for r in lab.where(F.col("toxic") == k).orderBy(*order).limit(rows).collect()]
+    sizes = dict(lab.groupBy("toxic").agg(F.count("*")).collect())  # two rows at most
+    chosen = [r for k in (0, 1) if sizes.get(k) for r in lab.where(F.col("toxic") == k).orderBy(*order).limit(rows).collect()]
     seeds = Lexicon(tuple((f" {w} ", 3.0) for w in SEEDS), exceptions)
     if not chosen:
         return seeds
     ids = spark.createDataFrame(chosen, "key bigint, label int")  # at most 2 x rows ids
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("key")).select("text", "label")
-    sample = stored(sample, "labelled")
+    sample = stored(sample.dropDuplicates(), "labelled")
+    found = {k: n for k, n in sample.groupBy("label").agg(F.count("*")).collect()}
+    if not found.get(0) or not found.get(1):
+        return seeds
+    weight = sizes[0] / min(sizes[0], rows) * min(sizes[1], rows) / sizes[1]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (Counter(), Counter())
-        n = [0, 0]
         for b in batches:
             for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held[k].update(_terms(t or ""))
-                n[k] += 1
-        for k in (0, 1):
-            held[k][""] = n[k]
-            yield pa.RecordBatch.from_arrays([pa.array(list(held[k])), pa.array([k] * len(held[k]), pa.int32()), pa.array(list(held[k].values()), pa.int64())], ["term", "label", "n"])
-
-    c = sample.mapInArrow(count, "term string, label int, n bigint").groupBy("term").agg(F.sum(F.expr("if(label = 1, n, 0)")).alias("bad"), F.sum(F.expr("if(label = 0, n, 0)")).alias("good"))
-    c = c.where((F.col("bad") >= least) & (F.col("bad") > F.col("good")) | (F.col("term") == ""))
-    size = c.where("term = ''").first()
-    if not size or not size["bad"] or not size["good"]:
-        return seeds
-    ratio = F.log((F.col("bad") + 0.5) / (size["bad"] + 1)) - F.log((F.col("good") + 0.5) / (size["good"] + 1))
-    top = c.where("term <> ''").withColumn("w", ratio).where("w >= 2").orderBy(F.desc(F.col("bad") * F.col("w")), F.desc(F.length("term")), "term").limit(entries).collect()
-    entries_ = [(r["term"], round(r["w"], 6)) for r in top]
-    hits = sample.select(_hits(tuple(e for e, _ in entries_), exceptions, spark)("text").alias("hits"), "label").toPandas()
-    found = Lexicon(tuple(entries_[i] for i in _cover(hits["hits"].tolist(), hits["label"].tolist(), len(entries_), least)), exceptions)
-    shared = spark.sparkContext.broadcast(found)
+                of: dict[str, set[int]] = {}
+                for term, around in terms(t or ""):
+                    of.setdefault(term, set()).add(around)
+                yield pa.RecordBatch.from_arrays([pa.array(list(of)), pa.array([k] * len(of), pa.int32()), pa.array([list(x) if k else [] for x in of.values()], pa.list_(pa.int64()))], ["term", "label", "around"])
+
+    seen = stored(sample.mapInArrow(count, "term string, label int, around array<bigint>"), "terms")
+    c = seen.groupBy("term").agg(F.count_if(F.col("label") == 1).alias("bad"), F.count_if(F.col("label") == 0).alias("good"))
+    c = stored(c, "counts")
+    around = seen.where("label = 1").select("term", F.explode("around").alias("a")).groupBy("term").agg(F.count_distinct("a").alias("around"))
+    whole = c.where(F.col("term").endswith(" ") & (F.col("bad") > 0)).select(F.expr("trim(term)").alias("w"), "bad")
+    starts = F.transform(F.sequence(F.lit(SHORTEST), F.least(F.lit(LONGEST), F.length("w") - 1)), lambda n: F.concat(F.lit(" "), F.substring("w", F.lit(1), n)))
+    of_start = whole.where(F.length("w") > SHORTEST).select("w", "bad", F.explode(starts).alias("term")).groupBy("term").agg(F.count("*").alias("words"), F.max("bad").alias("most"))
+    looked = c.count()
+    share = found[1] / (found[0] + found[1])
+    least = math.log(max(1, looked) / SURE) / -math.log(share)  # fewer toxic rows can prove nothing
+    strong = c.where((F.col("bad") >= least) & (F.col("bad") >= 9 * weight * F.col("good")))
+    rows_ = [r.asDict() for r in strong.join(around, "term").join(of_start, "term", "left").collect()]
+    lexicon = Lexicon(tuple(choose(rows_, looked, found[1], found[0], weight, entries)), exceptions)
+    shared = spark.sparkContext.broadcast(lexicon)
 
     @arrow_udf("struct<a:double,b:double>")
     def features(texts: pa.Array) -> pa.Array:
         f = [shared.value.features(t or "") for t in texts.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([x for x, _ in f], pa.float64()), pa.array([x for _, x in f], pa.float64())], ["a", "b"])
 
-    got = sample.select(features.asNondeterministic()("text").alias("f"), "label").toPandas()
+    got = sample.select(features.asNondeterministic()("text").alias("f"), "label").toPandas()  # at most 2 x rows
     x = np.array([[1.0, f["a"], f["b"]] for f in got["f"]])
-    return Lexicon(found.entries, exceptions, tuple(_logistic(x, got["label"].to_numpy().astype(float))))
-
-
-def _hits(entries: tuple[str, ...], exceptions: tuple[str, ...], spark):
-    shared = spark.sparkContext.broadcast(Lexicon(tuple((e, float(i)) for i, e in enumerate(entries)), exceptions))
-
-    @arrow_udf("array<int>")
-    def hits(texts: pa.Array) -> pa.Array:
-        a = _automaton(shared.value)
-        return pa.array([sorted({int(w) for _, (_, w) in a.iter(fold(t or "")) if w is not None}) for t in texts.to_pylist()], pa.list_(pa.int32()))
-
-    return hits.asNondeterministic()
-
-
-def _cover(hits: list, labels: list[int], n: int, least: int) -> list[int]:
-    """Entries, the strongest first, that each explain ``least`` toxic rows which those
-    before leave unexplained, and nine of ten rows that they add. What only comes along
-    with a real entry (the other words of a much copied text) explains nothing more. An
-    entry in half as many toxic rows as the least of these is taken, too."""
-    of: list[list[int]] = [[] for _ in range(n)]
-    for row, found in enumerate(hits):
-        for i in found:
-            of[i].append(row)
-    explained, out = np.zeros(len(labels), bool), []
-    bad = np.array(labels, bool)
-    for i in range(n):
-        new = [r for r in of[i] if not explained[r]]
-        if bad[new].sum() >= least and bad[new].mean() >= 0.9:
-            explained[new] = True
-            out.append(i)
-    common = min((bad[of[i]].sum() for i in out), default=0)
-    return [i for i in range(n) if i in out or 2 * bad[of[i]].sum() >= common > 2 * least]
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 30) -> list[float]:
-    """Newton's method with a ridge penalty; classes weigh as they occur."""
+    y = got["label"].to_numpy().astype(float)
+    return Lexicon(lexicon.entries, exceptions, tuple(_logistic(x, y, np.where(y == 1, 1.0, weight))))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.5, rounds: int = 30) -> list[float]:
+    """Newton's method with a ridge penalty."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-x @ w))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         penalty = np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty, x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + penalty, x.T @ (weight * (y - p)) - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break

@@ -453,21 +453,76 @@ def test_one_of_each_group_stays(odd):
 # --- toxicity --------------------------------------------------------------------------
 
 
-def test_toxicity_held_out_accuracy(spark, sf_dir):
-    big = sf_dir.replace("sf0.001", "sf0.1")  # enough labels of each language
-    got = queries.op10_toxicity(spark, big).join(table(spark, big, "labels").select("doc_id", "toxic"), "doc_id")
+HARMLESS = [
+    "the path is worth it", "pathology department", "a clown at the circus", "put it in the trash can", "a loose end and a close call",
+    "Wortschatz und Wörterbuch", "der Weg ist das Ziel", "le chemin est long et la route est belle", "un réseau de trains", "el camino es largo y la casa es bonita", "", "12345 !!!",
+]
+
+
+@pytest.mark.parametrize("size, recall", [("sf0.01", 0.6), ("sf0.1", 0.85)])
+def test_toxicity_held_out_accuracy(spark, sf_dir, size, recall):
+    where = sf_dir.replace("sf0.001", size)
+    labels = table(spark, where, "labels").select("doc_id", "toxic")
+    got = queries.op10_toxicity(spark, where).join(labels, "doc_id")
     held = rows(got.where("held_out"))
     assert sum(r["predicted"] == r["toxic"] for r in held) / len(held) > 0.95
-    bad = [r["score"] for r in held if r["toxic"]]
-    good = [r["score"] for r in held if not r["toxic"]]
-    assert sum((a > b) + (a == b) / 2 for a in bad for b in good) > 0.95 * len(bad) * len(good)
+    bad = [r for r in held if r["toxic"]]
+    assert sum(r["predicted"] for r in bad) >= recall * len(bad)
+    assert sum(r["predicted"] for r in held if not r["toxic"]) <= 0.005 * len(held)
+    lexicon = toxicity.learn(toxicity.train_rows(table(spark, where, "documents")), toxicity.train_rows(labels))
+    for t in HARMLESS:
+        assert lexicon.score(t) < 0.5, t
+    for t in ("you idiot", "such a STUPID m0ron", "pathetic and worthless"):
+        assert lexicon.score(t) >= 0.5, t
+
+
+def test_lexicon_equals_brute_force(spark, sf_dir):
+    where = sf_dir.replace("sf0.001", "sf0.01")
+    labels = {r.doc_id: r.toxic for r in table(spark, where, "labels").collect()}
+    kept = lambda i: zlib.crc32(str(i).encode()) % 5 != 0
+    data = {(r.text or "", labels[r.doc_id]) for r in table(spark, where, "documents").collect() if r.doc_id in labels and kept(r.doc_id)}
+    n_bad, n_good = sum(y for _, y in data), sum(1 - y for _, y in data)
+    bad, good, around, words = Counter(), Counter(), defaultdict(set), defaultdict(Counter)
+    for t, y in data:
+        w = toxicity.fold(t).split()
+        found = defaultdict(set)
+        for i, x in enumerate(w):
+            near = (w[i - 1] if i else "", w[i + 1] if i + 1 < len(w) else "")
+            for term in [f" {x} ", *(f" {x[:n]}" for n in range(3, 9) if n < len(x))]:
+                found[term].add(near)
+        (bad if y else good).update(found.keys())
+        if y:
+            for term, near in found.items():
+                around[term] |= near
+            for x in set(w):
+                for n in range(3, min(9, len(x))):
+                    words[f" {x[:n]}"][x] += 1
+    every = [{"term": t, "bad": n, "good": good[t], "around": len(around[t]), "words": len(words[t]), "most": max(words[t].values(), default=0)} for t, n in bad.items()]
+    want = toxicity.choose(every, len(set(bad) | set(good)), n_bad, n_good, 1.0, toxicity.ENTRIES)
+    got = toxicity.learn(toxicity.train_rows(table(spark, where, "documents")), toxicity.train_rows(table(spark, where, "labels")))
+    assert list(got.entries) == want and " idiot " in dict(want)
+
+
+def test_entries_by_hand():
+    row = lambda term, bad, good, **more: {"term": term, "bad": bad, "good": good, "around": bad, "words": 1, "most": bad} | more
+    of = lambda *r: [t for t, _ in toxicity.choose(list(r), 100, 50, 400, 1.0, 100)]
+    assert of(row(" vile ", 20, 0)) == [" vile "] and of(row(" vile ", 20, 5)) == [] and of(row(" vile ", 3, 0)) == []
+    assert of(row(" copied ", 20, 0, around=1)) == []  # the same surroundings each time
+    assert of(row(" vil", 20, 0)) == [] and of(row(" vil", 20, 0, words=5, most=9)) == [" vil"] and of(row(" vil", 20, 0, words=5, most=15)) == []
+    assert abs(toxicity.chance(5, 5, 0.5)) < 1e-12 and abs(toxicity.chance(4, 0, 0.5) - 4 * math.log(2)) < 1e-12
+
+
+def test_labels_of_one_sort(spark, odd):
+    for y in (0, 1):
+        labels = spark.createDataFrame([(i, 0, y) for i in range(1, 13)] + [(None, 0, y), (99, 0, 1 - y)], "doc_id bigint, quality int, toxic int")
+        assert toxicity.learn(odd, labels).entries == tuple((f" {w} ", 3.0) for w in toxicity.SEEDS)
 
 
 def test_folding_and_exceptions():
     lex = toxicity.Lexicon(tuple((f" {w}", 3.0) for w in (*toxicity.SEEDS, "trash")))
     for t in ("you IDIOT", "1d1ot!", "stupіd", "mоrοn", "ｉｄｉｏｔ", "id!ot.", "scu​m"):
         assert lex.features(t)[0] > 0, t
-    for t in ("", "the trash can is full", "a fine day", None):
+    for t in ("", "the trash can is full", "a fine day", None, "the trash\u2028can", "…·—"):
         assert lex.features(t or "") == (0.0, 0.0), t
     assert lex.score("trash " * 3 + "word " * 10) > lex.score("trash " * 3 + "word " * 1000)
     assert brute_weight(lex, "trash trash can idiotic loser") == lex._weight(toxicity.fold("trash trash can idiotic loser"))
