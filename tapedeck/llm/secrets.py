@@ -1,15 +1,23 @@
-"""Secret scanning through a trigram index, in DataFrame functions alone.
+"""Secret scanning through a trigram inverted index, in DataFrame functions alone.
 
 From the parsed form of each rule's regular expression a Boolean query over trigrams is
-derived: every match must hold them. The index is inverted over the trigrams that some
-query needs and cut by document: each row's postings are one bit for each such trigram,
-found in its lower-cased text. Intersecting postings is then a mask test, texts never cross
-the network, and only the candidates of a rule run its expression, over the whole text.
-A rule from which no trigram follows scans every text. ``postings`` gives the same index
-by trigram, as a table, for use over and over.
-
-Spans are leftmost and non-overlapping for each rule, as code points, end exclusive.
-Defined results: a null text counts as empty and has no spans; equal rows give equal spans.
+derived, as alternatives of trigrams that must all be there: every match holds one of them.
+The index lists for each trigram that some query needs the texts that hold it, by a 64-bit
+hash of the text (``postings``; a text that occurs a million times is one posting, and two
+texts of one hash can only make more candidates, never fewer). Postings of an alternative's
+trigrams are intersected, those of a rule's alternatives united. Only the candidates of a
+rule run its expression, over the whole text; a rule from which no trigram follows scans every
+text. Candidates (a hash and a bit mask) are broadcast only while they are fewer than
+``BROADCAST``, else joined by hash.
+
+Spans are leftmost and non-overlapping for each rule, as code points, end exclusive. Their
+places are running sums over matches and what lies between, made in chunks, so that a text's
+time grows with its length and spans and not with their square.
+
+Defined results: a null text counts as empty and has no spans; equal rows give equal spans;
+spans of several rules may overlap or be equal, and are ordered by start, then rule; a text of
+any length is scanned whole; an empty table gives an empty one; columns of any other names
+stay as they are.
 """
 
 from __future__ import annotations
@@ -22,7 +30,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, text_of
+from .common import fresh, let, stored, text_of
 
 
 @dataclass(frozen=True)
@@ -51,6 +59,8 @@ ADDED = (
 )
 RULES = BASE + ADDED
 
+#: Candidates (some 20 bytes each) that are broadcast at most.
+BROADCAST = 2_000_000
 _MANY = 64  # strings that a set of alternatives may hold before it counts as unknown
 
 #: A query: None (always true), a trigram, or ("and" | "or", (query, ...)).
@@ -124,7 +134,8 @@ def trigram_query(pattern: str) -> Query:
             if known is not None and high == 1:
                 return known | {""}, None
             if low and known is not None:
-                return None, _all([query, _any([_grams(s * low) for s in sorted(known)])])
+                # Of several strings any may follow any: only those of one string are sure.
+                return None, _all([query, _any([_grams(s * low if len(known) == 1 else s) for s in sorted(known)])])
             return None, query if low else None
         if op is sre.AT:
             return {""}, None
@@ -142,80 +153,120 @@ def trigrams(query: Query) -> set[str]:
     return {query} if isinstance(query, str) else set().union(*(trigrams(q) for q in query[1]))
 
 
-def _holds(query: Query, has) -> Column:
+def alternatives(query: Query) -> list[frozenset[str]]:
+    """The query as alternatives, each of trigrams that must all be there; none: always true."""
     if query is None:
-        return F.lit(True)
+        return []
     if isinstance(query, str):
-        return has(query)
-    parts = [_holds(q, has) for q in query[1]]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out & p if query[0] == "and" else out | p
-    return out
+        return [frozenset([query])]
+    parts = [alternatives(q) for q in query[1]]
+    if query[0] == "or":
+        return sorted({a for p in parts for a in p}, key=sorted)
+    out = [frozenset()]
+    for p in parts:
+        # Past some hundred alternatives a part is left out: more candidates, none lost.
+        out = [a | b for a, b in product(out, p)] if len(out) * len(p) <= 4 * _MANY else out
+    return sorted({a for a in out if not any(b < a for b in out)}, key=sorted)
 
 
 def needed(rules: tuple[Rule, ...]) -> list[str]:
-    return sorted(set().union(*(trigrams(trigram_query(r.pattern)) for r in rules)))
+    return sorted(set().union(*(a for r in rules for a in alternatives(trigram_query(r.pattern)))))
 
 
-def index(docs: DataFrame, rules: tuple[Rule, ...], text: str, name: str) -> DataFrame:
-    """``docs`` and the array of its postings' bits: bit i of word j is trigram 63 j + i."""
-    low = fresh(docs, "lowered")[0]
-    words = []
+def _any_of(grams: list[str]) -> str:
+    """An expression that finds every place where one of the trigrams begins."""
+    tree: dict[str, dict[str, list[str]]] = {}
+    for g in grams:
+        tree.setdefault(g[0], {}).setdefault(g[1], []).append(g[2])
+    quote = lambda c: "\\" + c if not c.isalnum() and c != "_" else c
+    ends = lambda x: f"[{''.join(map(quote, x))}]"
+    second = lambda x: "|".join(quote(c) + ends(x[c]) for c in x)
+    return "(?=(" + "|".join(f"{quote(c)}(?:{second(x)})" for c, x in tree.items()) + "))"
+
+
+def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text") -> DataFrame:
+    """(trigram, key): the index, one row for each text (by hash) and trigram that it holds."""
     grams = needed(rules)
-    for j in range(0, max(1, len(grams)), 63):
-        bits = [F.when(F.contains(F.col(low), F.lit(g)), F.lit(1 << i)).otherwise(F.lit(0).cast("long")) for i, g in enumerate(grams[j : j + 63])]
-        word = F.lit(0).cast("long")
-        for b in bits:
-            word = word.bitwiseOR(b)
-        words.append(word)
+    if not grams:
+        return docs.select(F.lit("").alias("trigram"), F.lit(0).cast("long").alias("key")).limit(0)
     # Only A-Z need folding, but lower() is what Spark has; ASCII trigrams are not harmed.
-    return docs.withColumn(low, F.lower(F.col(text))).withColumn(name, F.array(*words)).drop(low)
+    low = F.lower(text_of(text))
+    found = F.array_distinct(F.regexp_extract_all(low, F.lit(_any_of(grams)), F.lit(1)))
+    return docs.select(F.xxhash64(text_of(text)).alias("key"), F.explode(found).alias("trigram")).select("trigram", "key")
 
 
-def candidate(rule: Rule, rules: tuple[Rule, ...], bits: str) -> Column:
-    at = {g: i for i, g in enumerate(needed(rules))}
-    return _holds(trigram_query(rule.pattern), lambda g: F.element_at(bits, at[g] // 63 + 1).bitwiseAND(F.lit(1 << (at[g] % 63))) != 0)
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(key, rules): texts that may match, and the rules in question as bits.
 
+    Intersection: an alternative's trigrams are numbered, and a key has them all when the
+    bits of its postings are all set, a sum that is combined before it is shuffled."""
+    rows = []
+    for rank, r in enumerate(rules):
+        for k, grams in enumerate(alternatives(trigram_query(r.pattern))):
+            of = sorted(grams)[:62]
+            rows += [(g, 1 << rank, k, 1 << i, (1 << len(of)) - 1) for i, g in enumerate(of)]
+    spark = index.sparkSession
+    wanted = spark.createDataFrame(rows, "trigram string, rule bigint, alternative int, bit bigint, every bigint")
+    hits = index.join(F.broadcast(wanted), "trigram").groupBy("key", "rule", "alternative", "every").agg(F.bit_or("bit").alias("bits"))
+    return hits.where("bits = every").groupBy("key").agg(F.bit_or("rule").alias("rules"))
 
-def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(trigram, doc_id): the index as a table, one row for each posting."""
-    bits, gram = fresh(docs, "bits", "trigram")
-    grams = needed(rules)
-    found = F.filter(F.array(*[F.struct(F.lit(g).alias("g"), F.element_at(bits, i // 63 + 1).bitwiseAND(F.lit(1 << (i % 63))).alias("b")) for i, g in enumerate(grams)]), lambda x: x["b"] != 0)
-    return index(docs, rules, text, bits).select(F.explode(found["g"]).alias(gram), F.col(doc_id).alias("doc_id"))
 
+_SPAN = "struct<start:int,stop:int,kind:string,rank:int,from:int,to:int>"
 
-_SPAN = "struct<start:int,stop:int,kind:string,rank:int>"
+
+def _running(values: Column, step, first: int = 0) -> Column:
+    """array<int>: what ``step`` has made of ``first`` and the values before each place.
+
+    Results are gathered in chunks of about a square root, so no long array is copied for
+    each of its elements."""
+    none = F.array().cast("array<int>")
+    size = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(values))).cast("int"))
+    parts = F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(1), F.size(values), size), lambda i: F.slice(values, i, size))).otherwise(F.array().cast("array<array<int>>"))
+    start = lambda at, of: F.struct(at.cast("int").alias("at"), F.array().cast(of).alias("out"))
+    one = lambda acc, v: F.struct(step(acc["at"], v).cast("int").alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+    inner = lambda at, chunk: F.aggregate(chunk, start(at, "array<int>"), one)
+    outer = lambda acc, chunk: let(inner(acc["at"], chunk), lambda r: F.struct(r["at"].alias("at"), F.array_append(acc["out"], r["out"]).alias("out")))
+    return F.coalesce(F.flatten(F.aggregate(parts, start(F.lit(first), "array<array<int>>"), outer)["out"]), none)
 
 
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
-    """Spans of one rule: positions are sums of the lengths of matches and of what is between."""
-    pattern = F.lit(rule.pattern)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    grouped = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
-    gap = F.split(text, rule.pattern, -1)
-    row = F.arrays_zip(F.transform(found, F.length).alias("n"), F.transform(grouped, F.length).alias("g"), F.slice(F.transform(gap, F.length), 1, F.size(found)).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        begin = acc["at"] + r["gap"]
-        span = F.struct(begin.alias("start"), (begin + r["n"]).alias("stop"), F.lit(rule.kind).alias("kind"), F.lit(rank).alias("rank"))
-        return F.struct((begin + r["n"]).alias("at"), F.when(r["g"] >= rule.least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(row, start, step, lambda acc: acc["out"])
-
-
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text") -> tuple[DataFrame, str]:
-    """``docs`` with an array of spans (start, stop, kind, rank) by start, then by rule."""
-    bits, plain, spans = fresh(docs, "bits", "plain", "spans")
-    d = index(docs.withColumn(plain, text_of(text)), rules, plain, bits)
+    """Spans of one rule, in code points (start, stop) and in bytes (from, to)."""
+    none = F.array().cast(f"array<{_SPAN}>")
+    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+
+    def of(found: Column) -> Column:
+        grouped = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
+        gaps = F.slice(F.split(text, rule.pattern, -1), 1, F.size(found))
+        sizes = F.transform(F.arrays_zip(found.alias("m"), grouped.alias("g"), gaps.alias("b")), lambda r: F.struct(F.length(r["m"]).alias("n"), F.length(r["g"]).alias("g"), F.length(r["b"]).alias("b"), F.octet_length(r["m"]).alias("on"), F.octet_length(r["b"]).alias("ob")))
+
+        def placed(z: Column) -> Column:
+            add = lambda at, v: at + v
+            at = _running(F.transform(z, lambda r: r["n"] + r["b"]), add)
+            byte = _running(F.transform(z, lambda r: r["on"] + r["ob"]), add)
+            every = F.transform(F.arrays_zip(z.alias("z"), at.alias("at"), byte.alias("byte")), lambda r: F.struct(
+                (r["at"] + r["z"]["b"]).alias("start"), (r["at"] + r["z"]["b"] + r["z"]["n"]).alias("stop"), F.lit(rule.kind).alias("kind"), F.lit(rank).alias("rank"),
+                (r["byte"] + r["z"]["ob"]).alias("from"), (r["byte"] + r["z"]["ob"] + r["z"]["on"]).alias("to"), r["z"]["g"].alias("g")))
+            return F.filter(every, lambda r: r["g"] >= rule.least) if rule.least else every
+
+        out = F.transform(let(sizes, placed), lambda r: F.struct(*[r[c].alias(c) for c in ("start", "stop", "kind", "rank", "from", "to")]))
+        return F.when(F.size(found) > 0, out.cast(f"array<{_SPAN}>")).otherwise(none)
+
+    return let(found, of)
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text", broadcast: int = BROADCAST) -> tuple[DataFrame, str]:
+    """``docs`` with an array of spans (start, stop, kind, rank, from, to) by start, then by rule."""
+    plain, spans, key, mask = fresh(docs, "plain", "spans", "key", "rules")
+    found = stored(candidates(postings(docs, rules, text=text), rules), "candidates").select(F.col("key").alias(key), F.col("rules").alias(mask))
+    if found.count() <= broadcast:
+        found = F.broadcast(found)
+    d = docs.withColumn(plain, text_of(text)).withColumn(key, F.xxhash64(plain)).join(found, key, "left")
     none = F.array().cast(f"array<{_SPAN}>")
-    # A rule that has no trigrams scans fully; rlike ends at the first match and so is a cheap test.
-    parts = [F.when(candidate(r, rules, bits) & F.col(plain).rlike(r.pattern), _spans(F.col(plain), r, i)).otherwise(none) for i, r in enumerate(rules)]
+    free = {i for i, r in enumerate(rules) if not alternatives(trigram_query(r.pattern))}
+    of = lambda i, r: _spans(F.col(plain), r, i) if i in free else F.when(F.col(mask).bitwiseAND(F.lit(1 << i)) != 0, _spans(F.col(plain), r, i)).otherwise(none)
     order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"])
-    every = F.concat(*parts)
-    return d.withColumn(spans, every).withColumn(spans, F.when(F.size(spans) > 1, F.array_sort(spans, order)).otherwise(F.col(spans))).drop(bits, plain), spans
+    every = let(F.concat(*[of(i, r) for i, r in enumerate(rules)]), lambda x: F.when(F.size(x) > 1, F.array_sort(x, order)).otherwise(x))
+    return d.withColumn(spans, every).select(*docs.columns, spans), spans
 
 
 def written(spans: Column) -> Column:
@@ -230,20 +281,18 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return found.select("doc_id", *[count(r.kind) for r in BASE], F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col(name)).alias("spans"))
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text", mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text", mark: str = "[secret]", **options) -> DataFrame:
     """``docs`` with each stretch that spans cover replaced by ``mark``; other columns as given."""
-    found, name = scan(docs, rules, text=text)
-    (pieces,) = fresh(found, "pieces")
-    body = F.col(text)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        between = F.when(s["start"] >= acc["at"], F.concat(body.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], between).alias("out"))
-
-    end = lambda acc: F.concat(acc["out"], body.substr(acc["at"] + 1, F.length(body)))
-    new = F.when(F.size(name) > 0, F.aggregate(name, start, step, end)).otherwise(body)
-    return found.withColumn(pieces, new).withColumn(text, F.col(pieces)).select(*docs.columns)
+    found, name = scan(docs, rules, text=text, **options)
+    (raw,) = fresh(found, "raw")
+    # Pieces are cut from the bytes: a place in them is reached without reading what is before it.
+    ends = _running(F.transform(name, lambda s: s["to"]), F.greatest)
+    piece = lambda a, b: F.col(raw).substr(a + 1, b - a).cast("string")
+    between = F.transform(F.arrays_zip(F.col(name).alias("s"), ends.alias("at")), lambda r: F.when(r["s"]["from"] >= r["at"], F.concat(piece(r["at"], r["s"]["from"]), F.lit(mark))))
+    last = F.array_max(F.transform(name, lambda s: s["to"]))
+    new = F.concat(F.array_join(between, ""), piece(last, F.length(raw)))
+    new = F.when(F.size(name) > 0, new).otherwise(F.col(text))
+    return found.withColumn(raw, F.col(text).cast("binary")).withColumn(text, new).select(*docs.columns)
 
 
 def sql(rules: tuple[Rule, ...] = RULES) -> str:

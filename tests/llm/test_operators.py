@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -335,9 +336,53 @@ def test_trigram_queries(spark, odd):
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == ("and", ("aki", "kia"))
     assert secrets.trigram_query("[0-9a-f]{16,}") is None
     assert secrets.trigram_query("(abcd|x)y") is None and secrets.trigram_query("(abc)?d") is None
-    assert secrets.trigram_query("(?:abc){2}") == ("and", ("abc", "bca", "cab")) or "abc" in secrets.trigrams(secrets.trigram_query("(?:abc){2}"))
-    p = {(r.trigram, r.doc_id) for r in secrets.postings(odd).collect()}
-    assert ("aki", 11) in p and ("kia", 11) in p and ("aki", 4) not in p
+    assert "abc" in secrets.trigrams(secrets.trigram_query("(?:abc){2}"))
+    assert secrets.alternatives(("and", ("abc", ("or", ("bcd", "xyz"))))) == [frozenset({"abc", "bcd"}), frozenset({"abc", "xyz"})]
+    p = {(r.trigram, r.key) for r in secrets.postings(odd).collect()}
+    key = {r.doc_id: r.k for r in odd.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k")).collect()}
+    assert ("aki", key[11]) in p and ("kia", key[11]) in p and ("aki", key[4]) not in p
+    grams = secrets.needed(secrets.RULES)
+    for r in odd.select("text").collect():  # the index is whole
+        low = (r.text or "").lower()
+        assert {g for g, k in p if k == key_of(spark, r.text)} == {g for g in grams if g in low}
+
+
+def key_of(spark, text):
+    return spark.range(1).select(F.xxhash64(F.lit(text or "")).alias("k")).first().k
+
+
+def test_trigram_queries_lose_no_match():
+    r = random.Random(8)
+    atom = lambda: r.choice(["abc", "ab", "x", "foo", "ba", "[ab]", "[0-9]", "(?:foo|bar)", "(?:ab|c)?", "_", "(?i:Key)"])
+    repeat = lambda: r.choice(["", "", "", "{2,}", "+", "?", "{3}"])
+    for _ in range(400):
+        pattern = "".join(f"(?:{atom()}){repeat()}" for _ in range(r.randint(1, 4)))
+        ways = secrets.alternatives(secrets.trigram_query(pattern))
+        for _ in range(40):
+            text = "".join(r.choice(["abc", "ab", "foo", "bar", "x", "c", "a", "b", "7", "_", "kEy", "ba"]) for _ in range(r.randint(1, 9)))
+            if re.search(pattern, text) and ways:
+                assert any(all(g in text.lower() for g in way) for way in ways), (pattern, text)
+
+
+def test_secrets_with_candidates_joined_by_hash(odd):
+    d = odd.select("doc_id", "text")
+    joined, name = secrets.scan(d, broadcast=0)
+    plain, _ = secrets.scan(d)
+    assert sorted(map(repr, joined.collect())) == sorted(map(repr, plain.collect())) and joined.columns == [*d.columns, name]
+
+
+def test_many_spans_in_one_text(spark):
+    """Four times the spans take about four times as long; sixteen, were it quadratic."""
+    took = {}
+    for n in (2_000, 8_000, 32_000):
+        text = "".join(f"é {i:016x}\n" for i in range(n))
+        d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        took[n] = time.time()
+        found = secrets.report(d).first()
+        clean = secrets.redact(d).first().text
+        took[n] = time.time() - took[n]
+        assert found.n_hex == n and found.spans.endswith(f"hex:{19 * n - 17}:{19 * n - 1}") and clean == "é [secret]\n" * n
+    assert took[32_000] < 4 * took[8_000] + 2, took
 
 
 def test_secrets_are_replaced(odd):
