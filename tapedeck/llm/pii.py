@@ -10,13 +10,17 @@ Selected spans that overlap a base span, or a likelier one, are dropped.
 No table holds labelled spans, so the trees learn from examples composed here from stated
 templates (seeded; ``EXAMPLES`` of them): numbers of either sort in contexts of either sort.
 
-Defined results: a null text counts as empty and has no spans; equal rows give equal spans.
+Defined results: a null text counts as empty and has no spans; equal rows give equal spans;
+of equally likely candidates that overlap the first one stays; a text of any length is scanned
+whole, in time in proportion to its length and (nearly) to its candidates; an empty table gives
+an empty one; columns of any other names stay as they are.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import fresh
+from .common import chunks
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("mail_words", "phone_local", "identity", "account", "host6", "card_wrong")
@@ -190,8 +194,11 @@ def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, int, int, str,
     out = []
     for i in range(n):
         kind, good = ADDED[i % len(ADDED)], r.random() < 0.5
-        cue = r.choice(FOR) if good and r.random() < 0.92 else r.choice(AGAINST) if not good and r.random() < 0.75 else ""
-        s = make[kind](good)
+        bare = r.random() < 0.3  # no word speaks for or against it
+        if kind == "card_wrong" and bare:
+            good = False  # such a number is a card's only by what is said of it
+        cue = "" if bare else r.choice(FOR if good else AGAINST)
+        s = make[kind](good or kind == "card_wrong" and r.random() < 0.5)
         head = f"{filler()} {cue}{r.choice([' ', ': ', ' no ', ' # ' if not good else ' is '])}"
         text = f"{head}{s} {filler()}."
         found = [c for c in candidates(text) if c[2] == kind and c[0] < len(head) + len(s) and c[1] > len(head)]
@@ -222,15 +229,46 @@ def model(rounds: int = 60, depth: int = 3, rate: float = 0.2) -> Trees:
     return Trees(bias, tuple(trees), thresholds)
 
 
+class _Taken:
+    """Disjoint stretches, sorted: whether one more is free is one search."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.starts: list[int] = []
+        self.stops: list[int] = []
+        for a, b, _ in sorted(spans):
+            if self.stops and a < self.stops[-1]:
+                self.stops[-1] = max(b, self.stops[-1])
+            else:
+                self.starts.append(a)
+                self.stops.append(b)
+
+    def take(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        if k and self.stops[k - 1] > a:
+            return False
+        k = bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.stops.insert(k, b)
+        return True
+
+
 def spans_of(text: str, trees: Trees) -> list[tuple[int, int, str]]:
     """All spans: base ones, then those selected, by kind as listed, then start."""
     base = base_spans(text)
-    chosen: list[tuple[int, int, str]] = []
+    taken = _Taken(base)
     scored = [(trees.probability(features(text, *c)), c) for c in candidates(text)]
-    for p, c in sorted((s for s in scored if s[0] >= trees.thresholds[s[1][2]]), key=lambda s: (-s[0], s[1])):
-        if all(c[1] <= a or b <= c[0] for a, b, _ in base + chosen):
-            chosen.append(c)
-    return sorted(base + chosen, key=lambda s: (KINDS.index(s[2]), s[0]))
+    likely = sorted((s for s in scored if s[0] >= trees.thresholds[s[1][2]]), key=lambda s: (-s[0], s[1]))
+    return sorted(base + [c for _, c in likely if taken.take(c[0], c[1])], key=lambda s: (KINDS.index(s[2]), s[0]))
+
+
+def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with each stretch that spans cover replaced by the first one's kind in brackets."""
+    out, at = [], 0
+    for a, b, kind in sorted(spans):
+        if a >= at:
+            out += [text[at:a], f"[{kind}]"]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
 
 
 _TYPE = "array<struct<start:int,stop:int,kind:string>>"
@@ -244,8 +282,8 @@ def find(text: Column, spark, trees: Trees | None = None) -> Column:
     @arrow_udf(_TYPE)
     def scan(texts: pa.Array) -> pa.Array:
         out = []
-        for i in range(0, len(texts), 256):
-            for t in texts[i : i + 256].to_pylist():
+        for i, j in chunks(texts):
+            for t in texts[i:j].to_pylist():
                 out.append([{"start": a, "stop": b, "kind": k} for a, b, k in spans_of(t or "", shared.value)])
         return pa.array(out, _ARROW)
 
@@ -263,13 +301,15 @@ def report(docs: DataFrame, **options) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in BASE], F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
 
 
-def redact(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
+def redact(docs: DataFrame, *, text: str = "text", trees: Trees | None = None) -> DataFrame:
     """``docs`` with each span replaced by its kind in brackets; other columns as given."""
-    (name,) = fresh(docs, "pii")
-    spans = F.array_sort(F.col(name))
-    body = F.col(text)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    between = lambda acc, s: F.when(s["start"] >= acc["at"], F.concat(body.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
-    step = lambda acc, s: F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], between(acc, s)).alias("out"))
-    new = F.when(F.size(name) > 0, F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], body.substr(acc["at"] + 1, F.length(body))))).otherwise(body)
-    return docs.withColumn(name, find(body, docs.sparkSession, **options)).withColumn(text, new).select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(trees or model())
+
+    @arrow_udf("string")
+    def mask(texts: pa.Array) -> pa.Array:
+        out: list[str | None] = []
+        for i, j in chunks(texts):
+            out += [t and masked(t, spans_of(t, shared.value)) for t in texts[i:j].to_pylist()]
+        return pa.array(out, pa.string())
+
+    return docs.withColumn(text, mask.asNondeterministic()(F.col(text)))
