@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Most bytes that a driver-built structure may hold before it is broadcast.
 BROADCAST_LIMIT = 64 << 20
+#: Most rows, of a few longs each, of a table that is broadcast for a join.
+BROADCAST_ROWS = 2_000_000
 #: Bytes of text that a vectorised kernel works on at once.
 CHUNK_BYTES = 4 << 20
 
@@ -46,6 +48,28 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (a stored table of a few longs a row) marked for broadcast if it has no more than
+    ``rows`` rows, else as it is: then the join shuffles both sides."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column], rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` less the rows whose ``keys`` (named as in ``dropped``) are in it; of several rows
+    of the same keys one stays. Texts are moved only for keys that occur more than once."""
+    names = fresh(docs, *keys)
+    rename = dict(zip(keys, names))
+    keyed = docs.withColumns(dict(zip(names, keys.values())))
+    gone = dropped.select(*[F.col(k).alias(rename[k]) for k in keys])
+    left = keyed.join(small(gone, rows), names, "left_anti")
+    often = stored(left.groupBy(*names).agg(F.count("*").alias("times")).where("times > 1").drop("times"), "often")
+    if often.isEmpty():
+        return left.select(*docs.columns)
+    repeated = small(often, rows)
+    once = left.join(repeated, names, "left_semi").dropDuplicates(names)
+    return left.join(repeated, names, "left_anti").unionByName(once).select(*docs.columns)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that clash with no column of ``df`` (case-insensitive)."""
     taken, out = {c.lower() for c in df.columns}, []

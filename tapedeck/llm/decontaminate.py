@@ -4,11 +4,18 @@ The training side is indexed in segments, as search engines shard by document: e
 task tokenises its own documents and stores, for each test term, the list of token
 positions. A test phrase starts from the list of its rarest term in the segment and
 intersects the offset-adjusted lists of its other terms. So postings never cross the
-network, and only the test terms (checked against ``limit`` bytes) are broadcast; a
-larger test set goes through in blocks, one pass for each.
+network, and only the test terms (checked against ``limit`` bytes) are broadcast. A larger
+test set goes through in blocks, one pass over the texts for each: a pass before the last
+writes its hits alone, by a digest of the text, and the last one gathers them.
+
+Proximity: if at most m of a window's terms may be missing, one of any m + 1 of them is there;
+so a window starts from the lists of its m + 1 rarest terms in the segment, and what is found
+doesn't depend on the segments.
 
 Defined results: a null or empty text has no words and no hits; an item without words
-never occurs; repeated item ids count as one item; equal rows give equal results.
+never occurs; an item without an id is none; repeated item ids count as one item; equal rows
+give equal results; a very long text is hashed in pieces; empty tables give no rows or no
+hits; columns of any other names stay as they are.
 """
 
 from __future__ import annotations
@@ -22,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import BROADCAST_LIMIT, blocks, chunks, fresh, ragged, stored, utf8
+from .common import BROADCAST_LIMIT, blocks, chunks, fresh, ragged, stored, text_of, utf8
 
 WINDOW = 8
+#: Bytes that are hashed at once.
+PIECE = 8 << 20
 #: Proximity for production: finds a word changed, inserted or dropped in each window.
 NEAR = {"slop": 1, "least": 7}
 #: Lower-cases A-Z and turns every byte that is in no word into a space.
@@ -54,19 +63,31 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def tokenise(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Folded bytes, and for each word its start, end, document and 64-bit hash."""
-    data = b" ".join(texts).translate(FOLD)
-    a = np.frombuffer(data, np.uint8)
+def _hashed(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of each word of folded bytes."""
     inside = np.concatenate(([False], a != 32, [False]))
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
-    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    doc = np.searchsorted(np.cumsum(size), start, side="right")
     total = np.zeros(len(a) + 1, np.uint64)
     np.cumsum((a.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(a)), out=total[1:])
-    h = (total[end] - total[start]) * _powers(_INVERSE, len(a) + 1)[start]
-    return data, start, end, doc, h
+    return start, end, (total[end] - total[start]) * _powers(_INVERSE, len(a) + 1)[start]
+
+
+def tokenise(texts: list[bytes], piece: int = PIECE) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Folded bytes, and for each word its start, end, document and 64-bit hash. Bytes are
+    hashed in pieces that end between words: the hash takes some fifty bytes for each."""
+    data = b" ".join(texts).translate(FOLD)
+    a = np.frombuffer(data, np.uint8)
+    parts, at = [], 0
+    while at < len(a) or not parts:
+        cut = data.find(b" ", at + piece) if len(a) - at > piece else -1
+        cut = len(a) if cut < 0 else cut
+        s, e, h = _hashed(a[at:cut])
+        parts.append((s + at, e + at, h))
+        at = cut if cut > at else len(a)
+    start, end, h = (np.concatenate(x) for x in zip(*parts))
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    return data, start, end, np.searchsorted(np.cumsum(size), start, side="right"), h
 
 
 @dataclass
@@ -227,17 +248,30 @@ def find_matches(docs: DataFrame, items: DataFrame, *, text: str = "text", item_
     rows = ((r[0], r[1]) for r in items.select(item_id, item_text).toLocalIterator())
     # A row costs its text, and for each of its words about a window of term ids.
     size = lambda r: 100 + len(r[1] or "") * 12
-    first = True
-    ahead = None
+    key, more = fresh(docs, "digest", "more")
+    digest = F.md5(text_of(text).cast("binary"))
+    earlier, ahead = [], None
     for block in blocks(rows, size, limit):
         if ahead is not None:
-            docs, first = stored(_pass(docs, text, found, ahead, window, slop, least, first), "decontaminate"), False
+            one = docs.select(digest.alias(key), _scan(spark, ahead, slop, least, window)(F.col(text)).alias(more))
+            some = one.where((F.size(f"{more}.items") > 0) | (F.size(f"{more}.near") > 0))
+            earlier.append(stored(some.groupBy(key).agg(F.first(more).alias(more)), "hits"))
         ahead = block
-    return _pass(docs, text, found, ahead or [], window, slop, least, first), found
-
-
-def _pass(docs: DataFrame, text: str, found: str, block: list, window: int, slop: int, least: int, first: bool) -> DataFrame:
-    phrases = docs.sparkSession.sparkContext.broadcast(Phrases.build(block, window))
+    last = docs.withColumn(found, _scan(spark, ahead or [], slop, least, window)(F.col(text)))
+    if not earlier:
+        return last, found
+    every = earlier[0]
+    for e in earlier[1:]:
+        every = every.unionByName(e)
+    every = every.groupBy(key).agg(F.collect_list(more).alias(more))  # as many as there are blocks
+    joined = last.withColumn(key, digest).join(every, key, "left")
+    old, new = F.coalesce(F.col(more), F.array().cast(f"array<{_FOUND}>")), F.col(found)
+    ids = lambda name: F.array_distinct(F.concat(new[name], F.flatten(old[name])))
+    return joined.withColumn(found, F.struct(new["n_words"].alias("n_words"), F.concat(new["hits"], F.flatten(old["hits"])).alias("hits"), ids("items").alias("items"), ids("near").alias("near"))).select(*docs.columns, found), found
+
+
+def _scan(spark, block: list, slop: int, least: int, window: int):
+    phrases = spark.sparkContext.broadcast(Phrases.build(block, window))
 
     @arrow_udf(_FOUND)
     def scan(texts: pa.Array) -> pa.Array:
@@ -250,18 +284,7 @@ def _pass(docs: DataFrame, text: str, found: str, block: list, window: int, slop
             out += part
         return pa.array(out, _FOUND_ARROW)
 
-    scan = scan.asNondeterministic()
-    if first:
-        return docs.withColumn(found, scan(F.col(text)))
-    (more,) = fresh(docs, "more")
-    old, new = F.col(found), F.col(more)
-    return docs.withColumn(more, scan(F.col(text))).withColumn(
-        found,
-        F.struct(
-            old["n_words"].alias("n_words"), F.concat(old["hits"], new["hits"]).alias("hits"),
-            F.array_union(old["items"], new["items"]).alias("items"), F.array_union(old["near"], new["near"]).alias("near"),
-        ),
-    ).drop(more)
+    return scan.asNondeterministic()
 
 
 def hit_words(hits):

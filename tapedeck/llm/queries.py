@@ -10,7 +10,7 @@ from .oracle import SQL  # noqa: F401
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), **decontaminate.NEAR)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

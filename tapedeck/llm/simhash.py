@@ -5,20 +5,27 @@ Manhattan distance of two embeddings never exceeds the Hamming distance of the
 fingerprints. The counts are kept in unary code (0: 00, 1: 01, 2: 11), so a Manhattan
 distance is the bit count of an XOR.
 
-Grid: the segments form 8 blocks. Four differing bits touch at most four blocks, so two
-linked fingerprints have equal counts in all segments of at least four blocks. Each of the
-70 choices of four blocks gives one grid; a fingerprint lies in one cell of each. Only cells
-that hold several distinct fingerprints go on. In these the members are first compared with
-the cell's smallest member, which contracts groups of copies without listing their pairs;
-then only pairs of different components within a cell are compared, so no link between
-components is lost and no cell of one component is expanded.
+Grid: the segments form blocks. Four differing bits touch at most four blocks, so two linked
+fingerprints have equal counts, and equal bits, in all segments of all other blocks. Each
+choice of blocks to keep gives one grid; a fingerprint lies in one cell of each. The number of
+blocks is chosen from the number of distinct fingerprints: few, coarse grids for small tables,
+more and finer ones for large ones; from ``DEEP`` fingerprints on cells are told apart by the
+kept bits as well as by their counts, so cells stay small at any size.
+Only cells that hold several distinct fingerprints go on. In these the members are first
+compared with the cell's smallest member, which contracts groups of copies without listing
+their pairs; then only pairs of different components within a cell are compared, so no link
+between components is lost and no cell of one component is expanded. Cells that still hold
+more than ``CROWD`` members of several components are cut again, by the bits of finer grids.
 
 Defined results: null and empty texts have fingerprint zero and link like any other;
-a null doc_id is never a component's id unless all of its ids are null.
+a null doc_id is never a component's id unless all of its ids are null; repeated rows are each
+reported; a text of any length is hashed whole; an empty table gives an empty one; columns of
+any other names are not read (``keep_one``: stay as they are).
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -28,10 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import chunks, fresh, stored, utf8
+from .common import chunks, stored, utf8, without
 from .components import components
 
 SEED = 42
+#: Distinct fingerprints from which cells are told apart by bits beside counts.
+DEEP = 1 << 20
+#: Members of a cell of several components, from which the cell is cut again.
+CROWD = 64
 _LOW = 0x5555555555555555
 
 
@@ -80,43 +91,69 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def grids(bits: int = 4, blocks: int = 8) -> list[int]:
-    """Masks of the choices of ``blocks - bits`` blocks of 64 / ``blocks`` bits each."""
-    width = 64 // blocks
-    block = [((1 << width) - 1) << (width * i) for i in range(blocks)]
+def grids(bits: int = 4, blocks: int = 8, within: int = -1) -> list[int]:
+    """Masks of the choices of ``blocks - bits`` of the blocks that the 32 segments form, or
+    those that lie in the mask ``within``."""
+    segments = [i for i in range(32) if within >> (2 * i) & 3 == 3]
+    cut = [round(i * len(segments) / blocks) for i in range(blocks + 1)]
+    block = [sum(3 << (2 * i) for i in segments[a:b]) for a, b in zip(cut, cut[1:])]
     return [_signed(sum(block[i] for i in kept)) for kept in combinations(range(blocks), blocks - bits)]
 
 
-def links(prints: DataFrame, fp: str, bits: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(node, root) of the fingerprints that link to another; ``prints`` holds distinct ones."""
-    p = prints.select(F.col(fp).alias("fp"), embedding(F.col(fp)).alias("e"))
-    masks = grids(bits)
-    cells = p.select("fp", "e", F.posexplode(F.array(*[F.col("e").bitwiseAND(F.lit(m)) for m in masks])).alias("grid", "cell"))
-    shared = cells.groupBy("grid", "cell").agg(F.min("fp").alias("first"), F.max("fp").alias("last"), F.count("*").alias("n")).where("n > 1")
-    shared = stored(shared, "cells")
+def blocks_for(n: int, bits: int = 4) -> int:
+    """The blocks with the least work for n fingerprints: cells to deal out and pairs by chance."""
+    kept = 1.0 if n >= DEEP else 0.7  # bits of entropy that a kept bit (or its count) has
+
+    def work(blocks: int) -> float:
+        return math.comb(blocks, bits) * (n + n * n / 2 ** (64 * kept * (blocks - bits) / blocks) / 16)
+
+    return min(range(bits + 1, 2 * bits + 5), key=work)
+
+
+def _cells(p: DataFrame, masks: list[int], of: Column, *keep: str) -> DataFrame:
+    """(cell, fp, keep...) for each mask; a cell is a hash (of equal hashes, two cells are one
+    larger one), and inside the cell that a row may be in already."""
+    within = [F.col("cell")] if "cell" in p.columns else []
+    each = [F.xxhash64(F.lit(i), *within, of.bitwiseAND(F.lit(m))) for i, m in enumerate(masks)]
+    return p.select("fp", *keep, F.explode(F.array(*each)).alias("cell"))
+
+
+def links(prints: DataFrame, fp: str, bits: int = 4, blocks: int | None = None, crowd: int = CROWD) -> DataFrame:
+    """(a, b): links that connect what is connected; ``prints`` holds distinct fingerprints."""
+    n = prints.count()
+    masks = grids(bits, blocks or blocks_for(n, bits))
+    spread = max(prints.sparkSession.sparkContext.defaultParallelism, math.ceil(n * len(masks) / 2_000_000))
+    p = prints.select(F.col(fp).alias("fp")).repartition(spread, "fp")
+    cells = stored(_cells(p, masks, F.col("fp") if n >= DEEP else embedding(F.col("fp"))), "cells")
+    shared = cells.groupBy("cell").agg(F.min("fp").alias("first"), F.max("fp").alias("last"), F.count("*").alias("n")).where("n > 1")
+    shared = stored(shared, "shared")
     close = lambda a, b: distance(embedding(F.col(a)), embedding(F.col(b))) <= bits
     exact = lambda a, b: distance(F.col(a), F.col(b)) <= bits
     two = shared.where(close("first", "last") & exact("first", "last")).select(F.col("first").alias("a"), F.col("last").alias("b"))
-    many = shared.where("n > 2").select("grid", "cell", "first")
-    members = stored(cells.join(many, ["grid", "cell"]).select("grid", "cell", "fp", "first"), "members")
+    members = stored(cells.join(shared.where("n > 2").select("cell", "first"), "cell"), "members")
     star = members.where("fp <> first").where(close("fp", "first") & exact("fp", "first")).select(F.col("fp").alias("a"), F.col("first").alias("b"))
     near = stored(two.union(star).distinct(), "links")
     roots = components(near, "a", "b")
     # What is left: cells whose members are of several components.
-    placed = members.join(roots, members["fp"] == roots["node"], "left").select("grid", "cell", "fp", F.coalesce("root", "fp").alias("root"))
-    mixed = placed.groupBy("grid", "cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("grid", "cell")
-    placed = stored(placed.join(mixed, ["grid", "cell"]), "mixed")
-    x = placed.select("grid", "cell", F.col("fp").alias("a"), F.col("root").alias("ra"))
-    y = placed.select("grid", "cell", F.col("fp").alias("b"), F.col("root").alias("rb"))
-    across = x.join(y, (x["grid"] == y["grid"]) & (x["cell"] == y["cell"]) & (F.col("ra") < F.col("rb")) & close("a", "b") & exact("a", "b"))
-    return near.union(across.select("a", "b")), roots
+    placed = members.join(roots, members["fp"] == roots["node"], "left").select("cell", "fp", F.coalesce("root", "fp").alias("root"))
+    mixed = placed.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("cell", "n")
+    placed = stored(placed.join(mixed, "cell"), "mixed")
+    # In a crowded cell the grid is laid once more, over bits and not counts.
+    crowded = placed.where(F.col("n") > crowd)
+    again = _cells(crowded, grids(bits, 2 * bits), F.col("fp"), "root")
+    some = again.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell")
+    placed = stored(placed.where(F.col("n") <= crowd).select("cell", "fp", "root").unionByName(again.join(some, "cell")), "pieces")
+    x = placed.select("cell", F.col("fp").alias("a"), F.col("root").alias("ra"))
+    y = placed.select("cell", F.col("fp").alias("b"), F.col("root").alias("rb"))
+    across = x.join(y, (x["cell"] == y["cell"]) & (F.col("ra") < F.col("rb")) & close("a", "b") & exact("a", "b"))
+    return near.union(across.select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``."""
     rows = stored(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle).alias("fp")), "fingerprints")
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
-    edges, _ = links(prints, "fp", bits)
+    edges = links(prints, "fp", bits)
     roots = components(edges, "a", "b")
     grouped = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -133,15 +170,19 @@ def report(docs: DataFrame, **options) -> DataFrame:
     return r.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each group of near-duplicates, columns as given: that of its smallest id.
 
-    Of several rows with that id one stays. Rows without an id stay: nothing names them.
+    Of rows with that id and the same text one stays; rows that share an id but are in no
+    group stay all. Rows without an id stay: nothing names them.
     """
     named = docs.where(F.col(doc_id).isNotNull())
-    groups = near_duplicates(named, doc_id=doc_id, **options)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    (key,) = fresh(docs, "kept_id")
-    kept = kept.withColumnRenamed("kept_id", key)
-    rest = named.join(kept, named[doc_id] == kept[key], "left_semi").dropDuplicates([doc_id])
-    return rest.unionByName(docs.where(F.col(doc_id).isNull()))
+    of_text = F.xxhash64(F.col(text))
+    rows = stored(named.select(F.struct(F.col(doc_id).alias("doc_id"), of_text.alias("t")).alias("row"), fingerprint(F.col(text), options.get("shingle", 4)).alias("fp")), "fingerprints")
+    least = stored(rows.groupBy("fp").agg(F.min("row").alias("least")), "prints")
+    roots = components(links(least, "fp", options.get("bits", 4)), "a", "b")
+    placed = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    first = placed.groupBy("root").agg(F.min("least").alias("first"))
+    stays = placed.join(first, "root").select("fp", "first")
+    dropped = stored(rows.join(stays, "fp").where("row <> first").select("row.doc_id", "row.t").distinct(), "dropped")
+    return without(named, dropped, {"doc_id": F.col(doc_id), "t": of_text}).unionByName(docs.where(F.col(doc_id).isNull()))

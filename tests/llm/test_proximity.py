@@ -45,6 +45,29 @@ def test_near_equals_brute_force(slop, least):
     assert set().union(*(near([t], i) for i, t in enumerate(texts))) == want  # however texts are dealt
 
 
+def test_pieces_of_the_hash():
+    texts = [("wörd " * 50 + "x" * 40).encode(), b"", b"  a  b ", "日本 y".encode() * 30]
+    whole = decontaminate.tokenise(texts)
+    for piece in (1, 7, 64):
+        for a, b in zip(whole[1:], decontaminate.tokenise(texts, piece)[1:]):
+            assert (a == b).all()
+
+
+def test_near_items_of_many_blocks(spark):
+    r = random.Random(11)
+    rows = [(k, " ".join(f"w{r.randrange(40)}" for _ in range(10))) for k in range(8)]
+    texts = [" ".join([*x.split()[:4], "zz", *x.split()[5:]]) + " " + y for (_, x), (_, y) in zip(rows, rows[1:])] * 2 + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    one = decontaminate.report(docs, items, **decontaminate.NEAR)
+    many = decontaminate.report(docs, items, limit=300, **decontaminate.NEAR)
+    want = {}
+    for d, k in brute([(t or "").encode() for t in texts], rows, 1, 7):
+        want[d] = want.get(d, 0) + 1
+    got = sorted(map(tuple, many.collect()))
+    assert got == sorted(map(tuple, one.collect())) and {x[0]: x[-1] for x in got if x[-1]} == want
+
+
 def test_changed_passages_are_rejected(spark, tmp_path):
     p = "alpha beta gamma delta epsilon zeta eta theta".split()
     texts = [p, [*p[:3], "xx", *p[4:]], [*p[:4], "xx", *p[4:]], p[:3] + p[4:], p[1:], p[:6], [*p[::2], *p[1::2]], ["other"]]
