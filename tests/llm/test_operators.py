@@ -429,25 +429,95 @@ def test_base_scores(docs, odd):
     c = Counter(w for _, held, ws in data if not held for w in ws)
     n, v = sum(c.values()), len(c)
     want = sorted((key or 0, held, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 5)) for key, held, ws in data)
-    got = rows(suffix_tree.report(d, p_symbol=1e-3))
+    got = rows(suffix_tree.report(d))
     assert sorted((r["doc_id"] or 0, r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in got) == want
     held = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_tree_is_a_distribution_and_uses_contexts(spark):
-    text = " ".join(["a b c", "a b d"][i % 7 == 0] + f" z{i % 5}" for i in range(3000))
-    d = spark.createDataFrame([(1, text), (2, "a b c z1 a b c z2 a b c z3")], "doc_id bigint, text string")
-    options = {"p_symbol": 1e-4, "p_context": 1e-3, "p_pair": 1e-3}
-    out, tree = suffix_tree.score(d, d.where("doc_id = 1"), **options)
-    assert len(tree.edge1) and len(tree.keys2)
-    n = len(tree.root)
-    for head in ([], ["a"], ["a", "b"], ["c", "z1"]):
-        s = [tree.symbol[w.encode()] for w in head]
-        total = sum(tree.probabilities(np.array([*s, x]))[-1] for x in range(n))
-        assert abs(total - 1) < 1e-9
-    r = out.where("doc_id = 2").first()
-    assert r["score"] > r["base_score"]
+def brute_tree(train, edge, context):
+    """Counts, and states by context (words, oldest first): shares by word, and the mass left."""
+    c = Counter(w for ws in train for w in ws)
+    total, distinct = sum(c.values()), len(c)
+    tree, last = {}, {()}
+
+    def probability(head, w):
+        p = (c[w] + 1) / (total + distinct + 1)
+        for d in range(1, len(head) + 1):
+            if tuple(head[-d:]) not in tree:
+                break
+            shares, left = tree[tuple(head[-d:])]
+            p = shares.get(w, 0.0) + left * p
+        return p
+
+    d = 0
+    while last:
+        d, seen = d + 1, defaultdict(Counter)
+        for ws in train:
+            for i in range(d, len(ws)):
+                head = tuple(ws[i - d : i])
+                if head[1:] in last and (d > 1 or c[head[0]] >= context * edge):
+                    seen[head][ws[i]] += 1
+        passed = {}
+        for head, follow in seen.items():
+            n = sum(follow.values())
+            apart = {}
+            for w, k in follow.items():
+                gain = k * math.log(k / (n * probability(head[1:], w))) - math.log(total)
+                if n >= context * edge and c[w] >= edge and k >= edge and gain > 0:
+                    apart[w] = (k, gain, probability(head[1:], w))
+            rest = n - sum(k for k, _, _ in apart.values())
+            lumped = rest * math.log(rest / n / (1 - sum(p for _, _, p in apart.values()))) if rest else 0
+            if apart and sum(g for _, g, _ in apart.values()) + lumped > 0:
+                passed[head] = {w: (k - 0.75) / n for w, (k, _, _) in apart.items()}, 1 - sum(k - 0.75 for k, _, _ in apart.values()) / n
+        tree |= passed
+        last = set(passed)
+    return tree, probability
+
+
+@pytest.fixture(scope="module")
+def stories(spark):
+    r = random.Random(12)
+    rows = []
+    for i in range(120):
+        ws = [f"w{int(r.random() ** 3 * 40)}" for _ in range(r.randrange(60))]
+        for _ in range(r.randrange(10)):
+            ws += r.choice(["the cat sat on the mat", "the dog sat on the log", "b r one", "b r one", "p q r three", "u q r two", "A b c d e f g"]).split()
+        rows.append((i, " ".join(ws)))
+    return spark.createDataFrame([*rows, (500, None), (501, ""), (None, "the cat"), (502, "new words on the mat"), (502, "new words on the mat")], "doc_id bigint, text string").cache()
+
+
+@pytest.mark.parametrize("edges", [4_000_000, 7])
+def test_scores_equal_brute_force(stories, monkeypatch, edges):
+    monkeypatch.setattr(suffix_tree, "EDGES", edges)  # 7: many parts
+    of = lambda t: [*(x.lower().decode() for x in (t or "").encode().split()), ""]
+    data = [(r.doc_id, of(r.text)) for r in stories.collect()]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    tree, probability = brute_tree([ws for i, ws in data if not held(i)], 2, 3)
+    assert max(map(len, tree)) >= 3 and len(tree) > 10
+    want = sorted((i or -1, round(sum(math.log10(probability(ws[max(0, k - 9) : k], w)) for k, w in enumerate(ws)), 4)) for i, ws in data)
+    got = suffix_tree.report(stories, context=3, edge=2).collect()
+    assert sorted((r.doc_id or -1, round(r.score, 4)) for r in got) == want
+
+
+def test_a_state_is_a_distribution(stories):
+    counts = suffix_tree.count_words(stories, "text").cache()
+    model = suffix_tree.learn(stories, counts, "text", context=3, edge=1)
+    tree = model.part(0, 1)
+    assert len(model.levels) >= 2 and model.parts() == 1
+    for head in ([], ["the"], ["sat", "on"], ["p", "q", "r"], ["c", "d"]):
+        s = suffix_tree.sequence([" ".join(head).encode()])[0][:-1]
+        p = [tree.probabilities(np.append(s, w), np.arange(len(s) + 1))[-1] for w in tree.words]
+        assert 0.98 < sum(p) < 1  # the rest is for unknown words
+    assert len(tree.words) == model.distinct
+
+
+def test_sequences():
+    texts = ["A b  a\tB é".encode(), b"", b"  ", ("x" * 50 + " y ").encode() * 60_000]
+    s, doc, place = suffix_tree.sequence(texts)
+    assert np.bincount(doc).tolist() == [6, 1, 1, 120_001] and place[:6].tolist() == list(range(6))
+    assert s[0] == s[2] and s[1] == s[3] and len(set(s[:5].tolist())) == 3 and s[5] == s[6] == s[7] == suffix_tree.END
+    assert len(set(s[8:-1].tolist())) == 2
 
 
 # --- near-duplicates -------------------------------------------------------------------
