@@ -14,8 +14,8 @@ kept bits as well as by their counts, so cells stay small at any size.
 Only cells that hold several distinct fingerprints go on. In these the members are first
 compared with the cell's smallest member, which contracts groups of copies without listing
 their pairs; then only pairs of different components within a cell are compared, so no link
-between components is lost and no cell of one component is expanded. Cells that still hold
-more than ``CROWD`` members of several components are cut again, by the bits of finer grids.
+between components is lost and no cell of one component is expanded. Cells with more than
+``CROWD`` such pairs a member are cut again, by the bits of finer grids.
 
 Defined results: null and empty texts have fingerprint zero and link like any other;
 a null doc_id is never a component's id unless all of its ids are null; repeated rows are each
@@ -41,8 +41,9 @@ from .components import components
 SEED = 42
 #: Distinct fingerprints from which cells are told apart by bits beside counts.
 DEEP = 1 << 20
-#: Members of a cell of several components, from which the cell is cut again.
-CROWD = 64
+#: Pairs of different components for each member of a cell, from which the cell is cut again
+#: (into as many pieces for each member).
+CROWD = 70
 _LOW = 0x5555555555555555
 
 
@@ -136,13 +137,15 @@ def links(prints: DataFrame, fp: str, bits: int = 4, blocks: int | None = None,
     roots = components(near, "a", "b")
     # What is left: cells whose members are of several components.
     placed = members.join(roots, members["fp"] == roots["node"], "left").select("cell", "fp", F.coalesce("root", "fp").alias("root"))
-    mixed = placed.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("cell", "n")
+    of = placed.groupBy("cell", "root").agg(F.count("*").alias("k")).groupBy("cell").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("own"), F.count("*").alias("roots"))
+    pairs = (F.col("n") * F.col("n") - F.col("own")) / 2  # of different components
+    mixed = of.where("roots > 1").select("cell", (pairs > crowd * F.col("n")).alias("crowded"))
     placed = stored(placed.join(mixed, "cell"), "mixed")
     # In a crowded cell the grid is laid once more, over bits and not counts.
-    crowded = placed.where(F.col("n") > crowd)
+    crowded = placed.where("crowded")
     again = _cells(crowded, grids(bits, 2 * bits), F.col("fp"), "root")
     some = again.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell")
-    placed = stored(placed.where(F.col("n") <= crowd).select("cell", "fp", "root").unionByName(again.join(some, "cell")), "pieces")
+    placed = stored(placed.where("not crowded").select("cell", "fp", "root").unionByName(again.join(some, "cell")), "pieces")
     x = placed.select("cell", F.col("fp").alias("a"), F.col("root").alias("ra"))
     y = placed.select("cell", F.col("fp").alias("b"), F.col("root").alias("rb"))
     across = x.join(y, (x["cell"] == y["cell"]) & (F.col("ra") < F.col("rb")) & close("a", "b") & exact("a", "b"))

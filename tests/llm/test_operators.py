@@ -557,7 +557,7 @@ def test_simhash_equals_brute_force(docs, odd):
     assert Counter(tuple(r) for r in simhash.report(d).collect()) == want
 
 
-@pytest.mark.parametrize("blocks, crowd, deep", [(None, 64, 1 << 20), (8, 3, 1 << 20), (6, 64, 1), (5, 5, 1)])
+@pytest.mark.parametrize("blocks, crowd, deep", [(None, 70, 1 << 20), (8, 0.5, 1 << 20), (6, 70, 1), (5, 1, 1)])
 def test_links_of_dense_fingerprints(spark, monkeypatch, blocks, crowd, deep):
     monkeypatch.setattr(simhash, "DEEP", deep)
     rng = np.random.default_rng(5)
