@@ -9,8 +9,10 @@ CODES = {
     "CBKP051": "unsupported edited picture", "CBKP101": "invalid picture",
     "CBKS121": "counter not found", "CBKS141": "record too large", "CBKS301": "counter above the maximum",
     "CBKS302": "counter below the minimum", "CBKS601": "alias start not found", "CBKS602": "alias end not found",
-    "CBKS603": "alias range not contiguous", "CBKS604": "alias range reversed", "CBKS607": "alias over a redefinition",
-    "CBKS608": "alias over an array", "CBKS609": "alias over a condition", "CBKS701": "counter of a selected array missing",
+    "CBKS603": "alias range not contiguous", "CBKS604": "alias range reversed", "CBKS605": "alias start crosses a group",
+    "CBKS606": "alias end crosses a group", "CBKS607": "alias over an array", "CBKS608": "qualified alias name not found",
+    "CBKS609": "alias over a redefinition", "CBKS610": "alias over several redefinitions", "CBKS611": "alias over part of an array",
+    "CBKS612": "alias over a counter-dependent array", "CBKS701": "counter of a selected array missing",
     "CBKS702": "alias without members", "CBKS703": "selected field not found", "CBKR211": "reserved bytes of a descriptor not zero",
     "CBKC201": "JSON write error", "CBKC301": "unmappable byte or character", "CBKD101": "invalid field",
     "CBKD301": "record too short", "CBKD302": "invalid number of elements", "CBKD401": "invalid packed nibble",
@@ -20,7 +22,8 @@ CODES = {
     "CBKD432": "float infinite", "CBKI001": "invalid state", "CBKE501": "type mismatch or out of range",
     "CBKE505": "scale mismatch", "CBKE510": "numeric overflow", "CBKE515": "text too long", "CBKE521": "array length out of bounds",
     "CBKE530": "sign encode error", "CBKE531": "float overflow", "CBKF102": "record length invalid",
-    "CBKF104": "descriptor looks like text", "CBKF221": "truncated", "CBKA001": "baseline error", "CBKW001": "schema write",
+    "CBKF104": "descriptor looks like text", "CBKF221": "truncated", "CBKA001": "baseline error", "CBKW001": "schema conversion",
+    "CBKW002": "no type for a field", "CBKW003": "too many digits for a decimal", "CBKW004": "batch not built", "CBKW005": "file not written",
 }
 WARNINGS = frozenset({"CBKD412", "CBKD423", "CBKS301", "CBKS302", "CBKR211"})
 # Exit code by family.

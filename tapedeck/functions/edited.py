@@ -21,7 +21,7 @@ def tokens(pic: str) -> list[str]:
 
 def pattern(pic: str) -> str:
     """What a text under the mask looks like."""
-    one = {"9": "[0-9]", "Z": "[0-9 ]", "*": "[0-9*]", "0": "0", ",": "[, *]", "/": "/", ".": r"[. *]", "$": r"[$ ]", "+": "[-+]", "-": "[- ]", "B": " ", "CR": "(?:CR|  )", "DB": "(?:DB|  )"}
+    one = {"9": "[0-9]", "Z": "[0-9 ]", "*": "[0-9*]", "0": "0", ",": "[, *]", "/": "/", ".": r"[. *]", "$": r"[$ ]", "+": "[-+ ]", "-": "[- ]", "B": " ", "CR": "(?:CR|  )", "DB": "(?:DB|  )"}
     return "^" + "".join(one[t] for t in tokens(pic)) + "$"
 
 
@@ -46,19 +46,14 @@ def decode(f: Field, text: Column) -> tuple[Column, Column]:
     digits = F.translate(F.concat(*picks), " *", "00") if picks else F.lit("0")
     signs = [(t, at, n) for t, at, n in _runs(f.pic) if t in ("+", "-", "CR", "DB")]
     negative = F.lit(False)
-    for t, at, n in signs:
-        negative = negative | (F.substring(text, at + 1, n) == ("-" if t in "+-" else t))
+    for t, at, n in signs:  # of several the last one holds
+        negative = F.substring(text, at + 1, n) == ("-" if t in "+-" else t)
     whole, part = F.substring(digits, 1, f.digits - f.scale), F.substring(digits, f.digits - f.scale + 1, f.scale)
     number = F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), F.lit("0"), whole, *([F.lit("."), part] if f.scale else []))
     value = F.when(ok, number.cast(kind))
-    error = F.when(~F.coalesce(ok, F.lit(False)), F.lit("CBKD421"))
-    if len(signs) > 1:  # marks that contradict each other
-        shown = [F.substring(text, at + 1, n) for _, at, n in signs]
-        minus = [s.isin("-", "CR", "DB") for s in shown]
-        differ = F.lit(False)
-        for m in minus[1:]:
-            differ = differ | (m != minus[0])
-        value, error = F.when(~differ, value), F.when(error.isNotNull(), error).when(differ, F.lit("CBKD422"))
+    # If only the marks of a sign are wrong, that is another fault.
+    but_signs = "^" + "".join("." * len(t) if t in ("+", "-", "CR", "DB") else pattern(t)[1:-1] for t in tokens(f.pic)) + "$"
+    error = F.when(~F.coalesce(ok, F.lit(False)), F.when(text.rlike(but_signs), F.lit("CBKD422")).otherwise(F.lit("CBKD421")) if signs else F.lit("CBKD421"))
     blank = F.trim(text) == ""
     if f.blank_zero:
         return F.when(blank, F.lit(0).cast(kind)).otherwise(value), F.when(blank, F.lit("CBKD423")).otherwise(error)

@@ -37,7 +37,9 @@ class Options:
     unmappable: str = "error"  # error, replace, skip
     floats: str = "ieee"  # or "ibm"
     trim: bool = False
-    zoned: str = "codepage"  # encode: codepage, ascii, ebcdic
+    zoned: str = "codepage"  # encode, where nothing else says: codepage, ascii, ebcdic
+    zoned_override: str = ""  # encode: ascii or ebcdic, whatever a record's metadata says
+    detect_zones: bool = False  # decode zoned numbers in the encoding that their bytes show
 
 
 def _ok(condition: Column, value: Column) -> Column:
@@ -127,25 +129,43 @@ def _marked(raw: Column, plain: str, plus: str, minus: str) -> Column:
     return F.translate(F.decode(raw, "ISO-8859-1"), "".join(pairs), "".join(pairs.values()))
 
 
+def zones(raw: Column) -> Column:
+    """What the zones of a zoned number show: ascii, ebcdic, mixed (or no zones), or auto (no bytes)."""
+    h = F.hex(raw)
+    ascii_, ebcdic = h.rlike("^(3.|7[BD]|4[1-9A-F]|5[0-2])+$"), h.rlike("^([CDF].)+$")
+    return F.when(h == "", "auto").when(ascii_, "ascii").when(ebcdic, "ebcdic").otherwise("mixed")
+
+
+def _zoned_value(f: Field, raw: Column, ebcdic: bool) -> Column:
+    t = _marked(raw, _latin(0xF), _latin(0xC), _latin(0xD)) if ebcdic else _marked(raw, _DIGITS, _PLUS, _MINUS)
+    whole = F.length(raw) == f.size
+    if not f.signed:
+        return _number(t, F.lit(False), whole, f.digits, f.scale)
+    last = F.substring(t, f.digits, 1)
+    digits = F.concat(F.substring(t, 1, f.digits - 1), F.translate(last, _PLUS_OUT + _MINUS_OUT, 2 * _DIGITS))
+    return _number(digits, last.between("K", "T"), whole, f.digits, f.scale)
+
+
 def _zoned(f: Field, raw: Column, o: Options) -> Decoded:
     if f.sign:
         return _separate(f, raw, o)
-    ebcdic = o.codepage != "ascii"
-    t = _marked(raw, _latin(0xF), _latin(0xC), _latin(0xD)) if ebcdic else _marked(raw, _DIGITS, _PLUS, _MINUS)
-    whole = F.length(raw) == f.size
-    if f.signed:
-        last = F.substring(t, f.digits, 1)
-        digits = F.concat(F.substring(t, 1, f.digits - 1), F.translate(last, _PLUS_OUT + _MINUS_OUT, 2 * _DIGITS))
-        value = _number(digits, last.between("K", "T"), whole, f.digits, f.scale)
+    page_ebcdic = o.codepage != "ascii"
+    if o.detect_zones:
+        found = zones(raw)
+        value = F.when(found == "ascii", _zoned_value(f, raw, False)).when(found == "ebcdic", _zoned_value(f, raw, True))
+        signed_anyway = F.lit(False) if f.signed else F.hex(raw).rlike("^(..)*([^3F].)$")
+        error = F.when(found == "mixed", F.lit("CBKD414")).when(value.isNull() & signed_anyway, F.lit("CBKD413")).when(value.isNull(), F.lit("CBKD411"))
     else:
-        value = _number(t, F.lit(False), whole, f.digits, f.scale)
-    error = F.when(value.isNull(), F.lit("CBKD411"))
+        value = _zoned_value(f, raw, page_ebcdic)
+        error = F.when(value.isNull(), F.lit("CBKD411"))
     good = value.isNotNull()
+    blank = raw == F.lit((b"\x40" if page_ebcdic else b" ") * f.size)
     if f.blank_zero:
-        blank = raw == F.lit((b"\x40" if ebcdic else b" ") * f.size)
         value = F.when(blank, F.lit(0).cast(f"decimal({f.digits},{f.scale})")).otherwise(value)
         error = F.when(blank, F.lit("CBKD412")).otherwise(error)
         good = ~F.coalesce(blank, F.lit(True)) & good
+    elif o.detect_zones:
+        error = F.when(blank, F.lit("CBKD411")).otherwise(error)
     return Decoded(value, _padded(value, f), error, good)
 
 
@@ -260,6 +280,28 @@ def _is_number(x: str) -> bool:
     return x.lstrip("+-").replace(".", "", 1).isdigit()
 
 
+def with_scale(text: Column, scale: int) -> tuple[Column, Column]:
+    """(decimal, error) of a number written as text: more digits after the point than ``scale``
+    are CBKE505, what is no number CBKE501."""
+    number = text.rlike(r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)\s*$")
+    exact = F.when(number, text).try_cast("decimal(38,18)")
+    fits = F.length(F.regexp_extract(text, r"\.([0-9]*?)0*\s*$", 1)) <= scale
+    value = F.when(number & fits, exact.try_cast(f"decimal(38,{scale})"))
+    return value, F.when(text.isNull(), F.lit(None).cast("string")).when(~F.coalesce(number, F.lit(False)), F.lit("CBKE501")).when(~fits, F.lit("CBKE505"))
+
+
+def overpunched(byte: Column, codepage: str) -> Column:
+    """Whether one byte can end a signed zoned number."""
+    return F.hex(byte).rlike("^(3[0-9]|7[BD]|4[1-9A-F]|5[0-2])$" if codepage == "ascii" else "^[CDF][0-9]$")
+
+
+def overpunches(codepage: str) -> list[int]:
+    """Every such byte, in order."""
+    if codepage == "ascii":
+        return sorted([*range(0x30, 0x3A), *map(ord, _PLUS + _MINUS)])
+    return [zone << 4 | d for zone in (0xC, 0xD, 0xF) for d in range(10)]
+
+
 # --- encode -----------------------------------------------------------------------------
 
 
@@ -282,12 +324,31 @@ def _encode_text(f: Field, value: Column, o: Options) -> Encoded:
     return Encoded(data, error)
 
 
-def _encode_zoned(f: Field, value: Column, o: Options) -> Encoded:
-    digits, negative, error = _fits(value, f)
-    ebcdic = o.zoned == "ebcdic" or o.zoned == "codepage" and o.codepage != "ascii"
+def _encode_separate(f: Field, value: Column, o: Options) -> Encoded:
+    """Digits beyond the field's scale are cut off; what doesn't fit is CBKE530."""
+    exact = value.cast("decimal(38,18)")
+    cut = exact - exact % F.lit(Decimal(1).scaleb(-f.scale)).cast(f"decimal({f.scale + 1},{f.scale})")
+    digits, negative, _ = _fits(cut, f)
+    whole = F.ltrim(F.replace(F.abs(cut).cast(f"decimal(38,{f.scale})").cast("string"), F.lit("."), F.lit("")), F.lit("0"))
+    mark = F.when(negative, F.lit("-")).otherwise(F.lit("+"))
+    data = codepages.to_bytes(F.concat(mark, digits) if f.sign == "leading" else F.concat(digits, mark), o.codepage)
+    return Encoded(data, F.when(F.length(whole) > f.digits, F.lit("CBKE530")))
+
+
+def _encode_zoned(f: Field, value: Column, o: Options, said: Column | None = None) -> Encoded:
+    """``said``: the encoding that the record's metadata names for this field, or null."""
     if f.sign:
-        mark = F.when(negative, F.lit("-")).otherwise(F.lit("+"))
-        return Encoded(codepages.to_bytes(F.concat(mark, digits) if f.sign == "leading" else F.concat(digits, mark), o.codepage), error)
+        return _encode_separate(f, value, o)
+    page = "ascii" if o.codepage == "ascii" else "ebcdic"
+    usual = o.zoned_override or (page if o.zoned == "codepage" else o.zoned)
+    if o.zoned_override or said is None:
+        return _encode_zones(f, value, usual == "ebcdic")
+    a, e = _encode_zones(f, value, False), _encode_zones(f, value, True)
+    return Encoded(F.when(F.coalesce(said, F.lit(usual)) == "ascii", a.data).otherwise(e.data), a.error)
+
+
+def _encode_zones(f: Field, value: Column, ebcdic: bool) -> Encoded:
+    digits, negative, error = _fits(value, f)
     head, last = F.substring(digits, 1, f.digits - 1), F.substring(digits, f.digits, 1)
     blank = b"\x40" if ebcdic else b" "
     if ebcdic:
@@ -366,8 +427,9 @@ def _encode_edited(f: Field, value: Column, o: Options) -> Encoded:
 _ENCODERS = {"text": _encode_text, "zoned": _encode_zoned, "packed": _encode_packed, "binary": _encode_binary, "float": _encode_float, "double": _encode_float, "edited": _encode_edited}
 
 
-def encode(f: Field, value: Column, o: Options) -> Encoded:
-    """Exactly ``f.size`` bytes; a null value or an error gives zero bytes."""
-    e = _ENCODERS[f.kind](f, value, o)
+def encode(f: Field, value: Column, o: Options, said: Column | None = None) -> Encoded:
+    """Exactly ``f.size`` bytes; a null value or an error gives zero bytes. ``said``: the zoned
+    encoding that metadata names."""
+    e = _encode_zoned(f, value, o, said) if f.kind == "zoned" else _ENCODERS[f.kind](f, value, o)
     good = e.error.isNull() & e.data.isNotNull()
     return Encoded(F.when(good, e.data).otherwise(F.lit(b"\0" * f.size)), e.error)

@@ -63,25 +63,107 @@ def encryption_findings(algorithm: Column, tls: Column, rotation_days: Column) -
 
 
 # Parts of names of sensitive fields.
-SENSITIVE = ("SSN", "SOCIAL", "TAX", "ACCOUNT", "CARD", "PASSWORD", "PIN", "SALARY", "BALANCE", "DOB", "BIRTH", "PHONE", "EMAIL", "ADDRESS", "MEDICAL", "PATIENT", "DIAGNOSIS", "CREDIT")
+SENSITIVE = (
+    "SSN", "SOCIAL", "PASSWORD", "CREDIT", "CARD", "ACCOUNT", "DOB", "BIRTH", "SALARY", "BALANCE", "ROUTING", "TAX-ID",
+    "MEDICAL", "PATIENT", "DIAGNOSIS", "PIN", "ENCRYPT", "SECRET",
+)
 
 
 def sensitive(path: Column) -> Column:
     return F.upper(path).rlike("|".join(SENSITIVE))
 
 
-# Rule, flag that must hold, severity.
+class Context:
+    """Columns that describe an operation; what isn't given counts as false, absent or zero.
+
+    Flags: integrity_protection, segregation_of_duties, role_based_access,
+    authorization_required, multi_factor, comprehensive_logging, at_rest_encrypted,
+    transit_encrypted, key_management. Texts: classification (such as material or phi),
+    at_rest (such as AES-256). Numbers: batch_size, retention_days. notes: map of texts.
+    """
+
+    def __init__(self, columns: dict[str, Column]):
+        self.columns = columns
+
+    def on(self, flag: str) -> Column:
+        return F.coalesce(self.columns[flag], F.lit(False)) if flag in self.columns else F.lit(False)
+
+    def is_(self, name: str, *values: str) -> Column:
+        return F.coalesce(F.lower(self.columns[name]).isin(*values), F.lit(False)) if name in self.columns else F.lit(False)
+
+    def noted(self, *keys: str) -> Column:
+        if "notes" not in self.columns:
+            return F.lit(False)
+        return F.coalesce(F.arrays_overlap(F.map_keys(self.columns["notes"]), F.array(*map(F.lit, keys))), F.lit(False))
+
+    def given(self, name: str) -> Column:
+        return self.columns[name].isNotNull() if name in self.columns else F.lit(False)
+
+
+def _cards(c: Context) -> Column:
+    return c.noted("has_cardholder_data", "stores_full_pan", "transmits_cardholder_data")
+
+
+# Rule, severity, and when it is broken.
 RULES = [
-    ("SOX-302", "signed_off", "high"), ("SOX-404", "access_controls", "high"), ("HIPAA-ADMIN", "privacy_officer", "medium"),
-    ("HIPAA-TECH", "encrypted", "high"), ("GDPR-5", "purpose_stated", "high"), ("GDPR-25", "privacy_by_design", "medium"),
-    ("PCI-3", "masked", "high"), ("PCI-4", "encrypted_in_transit", "high"), ("PCI-7", "need_to_know", "medium"),
-    ("PCI-8", "strong_identity", "high"), ("PCI-10", "logged", "medium"),
-]
+    ("SOX-302-001", "high", lambda c: ~(c.on("integrity_protection") & c.is_("classification", "material"))),
+    ("SOX-404-001", "high", lambda c: ~c.on("segregation_of_duties")),
+    ("HIPAA-ADMIN-001", "high", lambda c: c.is_("classification", "phi") & ~(c.on("role_based_access") & c.on("authorization_required") & c.on("multi_factor") & c.noted("phi_access_justification"))),
+    ("HIPAA-TECH-001", "critical", lambda c: c.is_("classification", "phi") & ~(c.is_("at_rest", "aes-256") & c.on("comprehensive_logging"))),
+    ("GDPR-ART5-001", "high", lambda c: ~c.noted("gdpr_legal_basis", "processing_purpose")),
+    ("GDPR-ART25-001", "medium", lambda c: ~c.given("batch_size")),
+    ("PCI-3.1-001", "critical", lambda c: _cards(c) & c.noted("stores_full_pan")),
+    ("PCI-3.2-001", "critical", lambda c: _cards(c) & ~c.on("at_rest_encrypted")),
+    ("PCI-3.4-001", "high", lambda c: _cards(c) & c.noted("displays_full_pan")),
+    ("PCI-3.5-001", "critical", lambda c: _cards(c) & c.on("at_rest_encrypted") & ~c.on("key_management")),
+    ("PCI-4.1-001", "critical", lambda c: c.noted("transmits_cardholder_data") & ~c.on("transit_encrypted")),
+    ("PCI-7.1-001", "high", lambda c: _cards(c) & ~c.on("role_based_access")),
+    ("PCI-8.2-001", "high", lambda c: _cards(c) & ~c.on("multi_factor")),
+    ("PCI-10.1-001", "high", lambda c: _cards(c) & ~c.on("comprehensive_logging")),
+    ("PCI-10.5.1-001", "high", lambda c: _cards(c) & ~c.on("integrity_protection")),
+]
+# Standards and the days that their audit records must be kept.
+RETENTION = {"SOX": 2555}
+
+
+def violations(context: dict[str, Column], standards: tuple[str, ...] = ("SOX",)) -> Column:
+    """Broken rules of the chosen standards (SOX, HIPAA, GDPR, PCI): array of (rule, severity)."""
+    c = Context(context)
+    return F.array_compact(F.array(*[F.when(broken(c), F.struct(F.lit(rule).alias("rule"), F.lit(level).alias("severity"))) for rule, level, broken in RULES if rule.split("-")[0] in standards]))
+
+
+def retention_warning(retention_days: Column, standard: str = "SOX") -> Column:
+    return retention_days < RETENTION[standard]
+
+
+def report(events: DataFrame, *, kind: str, failed: Column, slow: Column | None = None) -> DataFrame:
+    """One row: events, and the state of compliance, security and performance, each told from
+    the events of its kind (compliance, security, performance): not evaluated without any."""
+    def state(name: str, bad: Column, worse: str, good: str) -> Column:
+        own = F.count_if(F.col(kind) == name)
+        return F.when(own == 0, "Not Evaluated").when(F.count_if((F.col(kind) == name) & bad) > 0, worse).otherwise(good).alias(f"{name}_status")
+
+    return events.agg(
+        F.count("*").alias("total_events"), state("compliance", failed, "Non-Compliant", "Compliant"),
+        state("security", failed, "Issues Detected", "Secure"), state("performance", slow if slow is not None else failed, "Degraded", "Normal"),
+    )
 
 
-def violations(flags: dict[str, Column], rules=RULES) -> Column:
-    """Rules whose flag is given and doesn't hold."""
-    return F.array_compact(F.array(*[F.when(~flags[flag], F.struct(F.lit(rule).alias("rule"), F.lit(level).alias("severity"))) for rule, flag, level in rules if flag in flags]))
+def formatted(df: DataFrame, form: str) -> DataFrame:
+    """(value): the rows of a report as json, csv, xml or html text."""
+    columns = df.columns
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    escaped = [F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")) for t in text]
+    if form == "json":
+        return df.select(F.to_json(F.struct(*columns)).alias("value"))
+    if form == "csv":
+        quoted = [F.when(t.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t) for t in text]
+        return df.select(F.concat_ws(",", *quoted).alias("value"))
+    if form == "xml":
+        return df.select(F.concat(F.lit("<row>"), *[F.concat(F.lit(f"<{c}>"), t, F.lit(f"</{c}>")) for c, t in zip(columns, escaped)], F.lit("</row>")).alias("value"))
+    if form == "html":
+        return df.select(F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), t, F.lit("</td>")) for t in escaped], F.lit("</tr>")).alias("value"))
+    raise ValueError(f"no report as {form}")
 
 
 # --- lineage -----------------------------------------------------------------------------------
@@ -115,16 +197,53 @@ def between(events: DataFrame, ts: str, start, stop) -> DataFrame:
     return events.where(F.col(ts).between(F.lit(start), F.lit(stop)))
 
 
-def health(events: DataFrame, *, sequence: str, ts: str, partition: list[str], hash_: str = "hash", previous: str = "previous_hash") -> DataFrame:
-    """One row: events, broken links, missing hashes, steps back in time."""
+def health(events: DataFrame, *, sequence: str, ts: str, partition: list[str], hash_: str = "hash", previous: str = "previous_hash", oldest=None) -> DataFrame:
+    """One row: events, broken links, missing hashes, steps back in time, times that can't be
+    read (``ts`` may be text), and events before ``oldest``, the end of their retention."""
     w = Window.partitionBy(*partition).orderBy(sequence)
-    e = events.withColumn("_h", F.lag(hash_).over(w)).withColumn("_t", F.lag(ts).over(w))
+    time = F.col(ts).try_cast("timestamp_ntz") if dict(events.dtypes)[ts] == "string" else F.col(ts)
+    e = events.withColumn("_now", time).withColumn("_h", F.lag(hash_).over(w)).withColumn("_t", F.lag("_now").over(w))
+    old = F.col("_now") < F.lit(oldest) if oldest is not None else F.lit(False)
     return e.agg(
         F.count("*").alias("events"), F.count_if(F.col("_h").isNotNull() & ~F.col("_h").eqNullSafe(F.col(previous))).alias("broken_links"),
-        F.count_if(F.col(hash_).isNull()).alias("missing_hashes"), F.count_if(F.col(ts) < F.col("_t")).alias("steps_back"),
+        F.count_if(F.col(hash_).isNull() | (F.col(hash_) == "")).alias("missing_hashes"), F.count_if(F.col("_now") < F.col("_t")).alias("steps_back"),
+        F.count_if(F.col(ts).isNotNull() & F.col("_now").isNull()).alias("unreadable_times"), F.count_if(old).alias("past_retention"),
     )
 
 
+def retained(events: DataFrame, ts: str, oldest) -> DataFrame:
+    return events.where(F.col(ts) >= F.lit(oldest))
+
+
+def rotated(events: DataFrame, *, line: Column, order: list[str], partition: list[str], most: int) -> DataFrame:
+    """``events`` with the number (from 0) of the log file that each goes to: a file is closed
+    when the bytes before a line, with their line ends, have reached ``most``."""
+    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.octet_length(line) + 1).over(w), F.lit(0))
+    return events.withColumn("file", (before / most).cast("bigint"))
+
+
+def parse_events(lines: DataFrame, schema: str, *, column: str = "value") -> DataFrame:
+    """Events of a log of JSON lines (or of lines that hold an array of events); ``_bad`` holds
+    a line that is neither, with null events."""
+    text = F.trim(F.col(column))
+    many = F.from_json(text, f"array<struct<{', '.join(c.strip().replace(' ', ':', 1) for c in schema.split(','))}>>")
+    one = F.from_json(text, schema)
+    whole = F.get_json_object(text, "$").isNotNull()
+    rows = F.when(~F.coalesce(whole, F.lit(False)), F.array(F.lit(None).cast(one_type(schema)))).when(F.startswith(text, F.lit("[")), many).otherwise(F.array(one))
+    bad = F.when(~F.coalesce(whole, F.lit(False)), text)
+    return lines.where(text != "").select(bad.alias("_bad"), F.explode(rows).alias("e")).select("_bad", "e.*")
+
+
+def one_type(schema: str) -> str:
+    return f"struct<{', '.join(c.strip().replace(' ', ':', 1) for c in schema.split(','))}>"
+
+
+def json_log(events: DataFrame, columns: list[str]) -> DataFrame:
+    """(value): one JSON line for each event."""
+    return events.select(F.to_json(F.struct(*columns)).alias("value"))
+
+
 def cef(vendor: str, product: str, version: str, event: Column, name: Column, level: Column, **extension: Column) -> Column:
     parts = [F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in extension.items()]
     return F.concat_ws("|", F.lit("CEF:0"), F.lit(vendor), F.lit(product), F.lit(version), event, name, level.cast("string"), F.concat_ws(" ", *parts))
@@ -155,6 +274,45 @@ def regressions(current: DataFrame, baseline: DataFrame, *, metric: str, value:
     return j.withColumn("change", change).withColumn("status", change_status(F.col("change")))
 
 
+def drift(changes: DataFrame, *, change: str = "change", threshold: float = 0.05) -> DataFrame:
+    """One row over all metrics: mean change and its bucket, and how many fell by more than
+    ``threshold`` (the 5 per cent detector)."""
+    d = changes.agg(F.avg(change).alias("mean_change"), F.count_if(F.col(change) > threshold).alias("fallen"), F.count("*").alias("metrics"))
+    return d.withColumn("status", change_status(F.col("mean_change")))
+
+
+def promoted(runs: DataFrame, *, metric: str, value: str, day: str, today, keep: int = 90) -> DataFrame:
+    """The baseline of each metric: its latest run not older than ``keep`` days."""
+    kept = runs.where(F.col(day) >= F.date_sub(F.lit(today).cast("date"), keep))
+    return kept.groupBy(metric).agg(F.max_by(value, day).alias(value), F.max(day).alias(day))
+
+
+def effect_size(df: DataFrame, *, group: str, value: str, first, second) -> DataFrame:
+    """Cohen's d of two groups, with their pooled variance."""
+    of = lambda k: F.when(F.col(group) == F.lit(k), F.col(value))
+    s = df.agg(F.avg(of(first)).alias("m1"), F.avg(of(second)).alias("m2"), F.var_samp(of(first)).alias("v1"), F.var_samp(of(second)).alias("v2"), F.count(of(first)).alias("n1"), F.count(of(second)).alias("n2"))
+    pooled = F.sqrt(((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / (F.col("n1") + F.col("n2") - 2))
+    return s.select(F.try_divide(F.col("m1") - F.col("m2"), pooled).alias("d"))
+
+
+def rank_sum(df: DataFrame, *, group: str, value: str, first, second) -> DataFrame:
+    """Mann and Whitney's U of the first group; equal values share the mean of their ranks.
+
+    Ranks follow from counts by value: rows are not ordered in one task, only distinct values."""
+    of = lambda k: F.count_if(F.col(group) == F.lit(k))
+    c = df.where(F.col(group).isin(first, second)).groupBy(value).agg(of(first).alias("a"), of(second).alias("b"))
+    before = F.coalesce(F.sum(F.col("a") + F.col("b")).over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = c.select("a", "b", (before + (F.col("a") + F.col("b") + 1) / 2).alias("rank"))
+    s = rank.agg(F.sum(F.col("a") * F.col("rank")).alias("r"), F.sum("a").alias("n"))
+    return s.select((F.col("r") - F.col("n") * (F.col("n") + 1) / 2).alias("u"))
+
+
+def telemetry(records: DataFrame, *, kind: str, size: str, seconds: str, steps: tuple[float, ...] = (0.001, 0.01, 0.1, 1.0, 10.0)) -> DataFrame:
+    """Counters and a histogram by kind: records, bytes, and how many took no longer than each step."""
+    upto = [F.count_if(F.col(seconds) <= s).alias(f"le_{str(s).replace('.', '_')}") for s in steps]
+    return records.groupBy(kind).agg(F.count("*").alias("records"), F.sum(size).alias("bytes"), *upto)
+
+
 def slo(value: Column, floor: float) -> Column:
     return F.when(value >= floor, "pass").otherwise("fail")
 

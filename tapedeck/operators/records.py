@@ -8,7 +8,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import NumericType, StructField, StructType
 
 from ..errors import WARNINGS
 from ..functions import codepages
@@ -137,9 +137,16 @@ class Plan:
         return columns, F.when(_every(self.good), none).otherwise(_together(faults)) if faults else none
 
 
-def decode(df: DataFrame, layout: Layout, *, payload: str = "payload", options: Options | None = None, select: list[str] | None = None, lossless: bool = False, mode: str = "permissive", keep: list[str] | None = None, strict_arrays: bool = False) -> DataFrame:
+def _in_array(layout: Layout, f: Field) -> bool:
+    return any(p.array and f.path.startswith(p.path + ".") for p in layout.walk())
+
+
+def decode(df: DataFrame, layout: Layout, *, payload: str = "payload", options: Options | None = None, select: list[str] | None = None, lossless: bool = False, mode: str = "permissive", keep: list[str] | None = None, strict_arrays: bool = False, zone_metadata: bool = False) -> DataFrame:
     """Columns of each record, after the columns ``keep``.
 
+    ``zone_metadata`` adds ``_encoding_metadata``: by name, the encoding (ascii or ebcdic) that
+    the bytes of each zoned field show; ``encode`` can follow it.
+
     mode: ``permissive`` adds ``_errors``; ``drop`` leaves out records that have errors
     (warnings stay); ``fail`` raises on the first one read; ``off`` looks for none.
     """
@@ -147,6 +154,11 @@ def decode(df: DataFrame, layout: Layout, *, payload: str = "payload", options:
     plan = Plan(chosen, F.col(payload), options or Options(layout.codepage), lossless=lossless, strict_arrays=strict_arrays)
     columns, errors = plan.columns()
     kept = [F.col(c) for c in keep or []]
+    if zone_metadata:
+        fields = [f for f in chosen.walk() if f.kind == "zoned" and not f.sign and not f.array and not _in_array(chosen, f)]
+        shown = [F.struct(F.lit(f.name).alias("key"), codec.zones(codec.slice_of(F.col(payload), f.offset, f.size)).alias("value")) for f in fields]
+        found = F.filter(F.array(*shown), lambda e: e["value"].isin("ascii", "ebcdic")) if shown else F.array().cast("array<struct<key:string,value:string>>")
+        columns = [*columns, F.map_from_entries(found).alias("_encoding_metadata")]
     if mode == "off":
         return df.select(*kept, *columns)
     out = df.select(*kept, *columns, errors.alias("_errors"))
@@ -166,12 +178,15 @@ def decode(df: DataFrame, layout: Layout, *, payload: str = "payload", options:
     return out.select(*[F.col(f"`{c}`") for c in names], once.alias("_keep")).select(*[F.col(f"`{c}`") for c in names], F.explode("_keep").alias("_kept")).drop("_kept")
 
 
-def encode(df: DataFrame, layout: Layout, *, options: Options | None = None, out: str = "payload", keep: list[str] | None = None, variable: bool = True, raw: str | None = None, verified: bool = False) -> DataFrame:
+def encode(df: DataFrame, layout: Layout, *, options: Options | None = None, out: str = "payload", keep: list[str] | None = None, variable: bool = True, raw: str | None = None, verified: bool = False, raw_header: bool = False, zone_metadata: str | None = None, coerce: bool = True) -> DataFrame:
     """``out`` (bytes) and ``_errors`` of each row; columns are named as the layout's fields.
 
     Arrays are padded to their most elements, except a counter-dependent one (``variable``).
     Of views of one place the non-null one is written; more than one is CBKE501. ``raw``
-    names a column of base64 bytes that are replayed (``verified``: only if values agree).
+    names a column of base64 bytes that are replayed (``verified``: only if values agree);
+    with ``raw_header`` they begin with a record descriptor, which is made anew. The column
+    ``zone_metadata`` (name to ascii or ebcdic) says how zoned fields are written. Without
+    ``coerce`` a number in a text field is CBKE501.
     """
     o = options or Options(layout.codepage)
     faults: list[Column] = []
@@ -210,7 +225,10 @@ def encode(df: DataFrame, layout: Layout, *, options: Options | None = None, out
     def of_element(f: Field, value: Column, inside: bool) -> Column:
         if f.kind == "group":
             return of_group(f.children, lambda c: value[c.name] if not c.filler else F.lit(None), f.size)
-        e = codec.encode(f, value, o)
+        said = F.try_element_at(F.col(zone_metadata), F.lit(f.name)) if zone_metadata and f.kind == "zoned" and not inside else None
+        e = codec.encode(f, value, o, said)
+        if f.kind == "text" and not coerce and not inside and names.get(f.name.lower()) in numeric:
+            e = codec.Encoded(F.when(value.isNull(), e.data).otherwise(F.lit(b"\0" * f.size)), F.when(value.isNotNull(), F.lit("CBKE501")))
         if not inside:
             faults.append(F.when(e.error.isNotNull(), F.struct(e.error.alias("code"), F.lit(f.path).alias("field_path"), F.lit(f.offset).alias("byte_offset"))))
         return e.data
@@ -236,10 +254,12 @@ def encode(df: DataFrame, layout: Layout, *, options: Options | None = None, out
         return df.schema[f.name].dataType.simpleString() if f.name in df.columns else None
 
     names = {c.lower(): c for c in df.columns}
+    numeric = {c.name for c in df.schema if isinstance(c.dataType, NumericType)}
     get = lambda f: F.col(f"`{names[f.name.lower()]}`") if f.name.lower() in names else F.lit(None)
     data = of_group(layout.top(), get, layout.lrecl)
     if raw:
         replay = F.unbase64(F.col(raw))
+        replay = replay.substr(F.lit(5), F.length(replay)) if raw_header else replay
         data = F.when(replay == data, replay).otherwise(data) if verified else F.coalesce(replay, data)
     errors = F.filter(F.array(*faults), lambda e: e.isNotNull()) if faults else F.array()
     # A generator of one row: the optimizer doesn't merge what reads the bytes into what makes

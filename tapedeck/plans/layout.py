@@ -13,6 +13,7 @@ import re
 from dataclasses import dataclass, field, replace
 
 from ..errors import LayoutError
+from . import features
 
 MAX_RECORD = 16 << 20
 DIALECTS = ("normative", "zero", "one")
@@ -122,7 +123,7 @@ def is_fixed_form(text: str) -> bool:
     return bool(lines) and 2 * looks >= len(lines)
 
 
-def statements(text: str) -> list[list[str]]:
+def statements(text: str, inline_comments: bool = True) -> list[list[str]]:
     fixed, joined = is_fixed_form(text), ""
     for line in text.splitlines():
         if line.startswith("*"):
@@ -134,6 +135,8 @@ def statements(text: str) -> list[list[str]]:
             joined = joined.rstrip("\n") + body.lstrip() + "\n" if mark == "-" else joined + body + "\n"
         elif not line.lstrip().startswith("*"):
             joined += line + "\n"
+    if not inline_comments and "*>" in joined:
+        raise LayoutError("CBKP001", "a comment inside a line")
     joined = re.sub(r"\*>.*", "", joined)
     out: list[list[str]] = [[]]
     for t in re.findall(r"'[^']*'\.?|\"[^\"]*\"\.?|[^\s]+", joined):
@@ -404,40 +407,69 @@ def _check_arrays(layout: Layout) -> None:
 
 
 def _resolve_aliases(layout: Layout, deep: bool) -> None:
+    storage = lambda f: [c for c in f.children if c.kind not in ("condition", "alias")]
     for root in layout.fields:
+        siblings = storage(root)
         for a in [f for f in root.children if f.kind == "alias"]:
-            def lookup(name: str, code: str) -> Field:
-                found = [f for f in root.walk() if f.kind not in ("alias", "condition") and (f.name == name or f.path.endswith("." + name))]
-                if not found:
-                    raise LayoutError(code, f"{a.name}: {name}")
-                return found[0]
-
-            first, last = lookup(a.alias[0], "CBKS601"), lookup(a.alias[1], "CBKS602")
-            if last.offset + last.extent < first.offset + 1 or last.offset < first.offset:
+            def named(name: str, fields) -> int | None:
+                return next((i for i, f in enumerate(fields) if f.name == name or f.path.endswith("." + name)), None)
+
+            at, to = named(a.alias[0], siblings), named(a.alias[1], siblings)
+            if at is None and to is None and a.alias[0] == a.alias[1]:  # one field of a group
+                inner = [f for f in root.walk() if f.kind not in ("alias", "condition")]
+                i = named(a.alias[0], inner)
+                if i is None:
+                    raise LayoutError("CBKS601", f"{a.name}: {a.alias[0]}")
+                a.offset, a.size = inner[i].offset, inner[i].size
+                a.members = [f.path for f in inner[i].walk() if f.kind not in ("alias", "condition", "group")]
+                continue
+            if at is None:
+                raise LayoutError("CBKS601", f"{a.name}: {a.alias[0]}")
+            if to is None:
+                raise LayoutError("CBKS602", f"{a.name}: {a.alias[1]}")
+            if at > to:
                 raise LayoutError("CBKS604", f"{a.name}: {a.alias[1]} ends before {a.alias[0]}")
-            a.offset, a.size = first.offset, last.offset + last.extent - first.offset
+            span = siblings[at : to + 1]
+            for f in (f for f in span if f.array):
+                if f.counter:
+                    raise LayoutError("CBKS612", f"{a.name} over {f.name}")
+                if not deep:
+                    raise LayoutError("CBKS607", f"{a.name} over {f.name}")
+                if at != to:
+                    raise LayoutError("CBKS611", f"{a.name} over {f.name}")
+            views = sum(bool(f.redefines) for f in span)
+            if views > (1 if deep else 0):
+                raise LayoutError("CBKS610" if deep else "CBKS609", a.name)
+            if at != to:
+                if storage(span[0]) or any(storage(f) for f in span[1:-1]):
+                    raise LayoutError("CBKS605", a.name)
+                if storage(span[-1]):
+                    raise LayoutError("CBKS606", a.name)
+            a.offset, a.size = span[0].offset, span[-1].offset + span[-1].extent - span[0].offset
             inside = [f for f in root.walk() if f.kind not in ("alias", "condition", "group") and a.offset <= f.offset and f.offset + f.extent <= a.offset + a.size]
-            span = [f for f in root.walk() if f is not root and f.kind not in ("alias", "condition") and a.offset <= f.offset < a.offset + a.size]
-            if not deep and any(f.redefines for f in span):
-                raise LayoutError("CBKS607", a.name)
-            if not deep and any(f.array for f in span):
-                raise LayoutError("CBKS608", a.name)
             a.members = [f.path for f in inside]
 
 
-def parse(text: str, *, codepage: str = "cp037", dialect: str = "normative", emit_filler: bool = False, deep_aliases: bool = False, floats: bool = True, separate_signs: bool = True) -> Layout:
-    """A layout of the declaration ``text``. Raises LayoutError with a stable code."""
+def parse(text: str, *, codepage: str = "cp037", dialect: str = "normative", emit_filler: bool = False, deep_aliases: bool = False, inline_comments: bool = True, flags: dict[str, bool] | None = None) -> Layout:
+    """A layout of the declaration ``text``. Raises LayoutError with a stable code.
+
+    ``inline_comments=False`` refuses ``*>``; ``flags`` change feature flags (see ``features``);
+    ``deep_aliases`` is short for the flag renames_r4_r6.
+    """
     if dialect not in DIALECTS:
         raise LayoutError("CBKP011", f"dialect {dialect}")
+    on = features.flags(flags)
     flat, n = [], 0
-    for s in statements(text):
+    for s in statements(text, inline_comments):
         f = _statement(s, n)
         n += f.filler
         flat.append(f)
     if not flat:
         raise LayoutError("CBKP001", "no declarations")
-    if not floats and any(f.kind in ("float", "double") for f in flat) or not separate_signs and any(f.sign for f in flat):
-        raise LayoutError("CBKP011", "a feature that is switched off")
+    for f in flat:
+        need = {"float": "comp_1", "double": "comp_2"}.get(f.kind, "sign_separate" if f.sign else "")
+        if need and not on[need]:
+            raise LayoutError("CBKP011", f"{f.name}: {need} is switched off")
     roots = _tree(flat)
     _name(roots)
     layout = Layout(roots, 0, dialect, codepage, emit_filler)
@@ -447,7 +479,7 @@ def parse(text: str, *, codepage: str = "cp037", dialect: str = "normative", emi
             f.name = f"_filler_{f.offset:06d}"
     _name(roots)
     _check_arrays(layout)
-    _resolve_aliases(layout, deep_aliases)
+    _resolve_aliases(layout, deep_aliases or on["renames_r4_r6"])
     return layout
 
 
@@ -458,6 +490,8 @@ def project(layout: Layout, names: list[str]) -> Layout:
     keep: set[str] = set()
     for name in [n.strip() for part in names for n in part.split(",") if n.strip()]:
         f = layout.find(name)
+        if f.kind == "alias" and not f.members:
+            raise LayoutError("CBKS702", f"{f.path} covers no field")
         keep |= {x.path for x in f.walk()} | set(f.members)
     for f in list(layout.walk()):
         if f.counter and f.path in keep:

@@ -14,7 +14,7 @@ _FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def fixed_stream(spark: SparkSession, path: str, lrecl: int) -> DataFrame:
-    """New files of fixed-length records below ``path``."""
+    """New files (each below 2 GB) of fixed-length records below ``path``."""
     f = spark.readStream.format("binaryFile").schema(_FILES).load(path)
     i = F.explode(F.expr(f"if(length >= {lrecl}, sequence(0, cast(length div {lrecl} as int) - 1), array())"))
     return f.select("path", "content", i.alias("i")).select("path", (F.col("i") + 1).cast("bigint").alias("record_index"), F.col("content").substr(F.col("i") * lrecl + 1, F.lit(lrecl)).alias("payload"))

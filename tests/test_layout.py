@@ -35,7 +35,9 @@ def test_offsets():
     ("CBKS121", "01 R. 05 A PIC X OCCURS 1 TO 5 DEPENDING ON N."), ("CBKS121", "01 R. 05 N PIC X. 05 A PIC X OCCURS 1 TO 5 DEPENDING ON N."),
     ("CBKP001", "01 R. 05 B REDEFINES A PIC X."), ("CBKS141", "01 R. 05 A PIC X(9000) OCCURS 9000."), ("CBKP011", "01 R. 05 A PIC X(3) COMP-3."),
     ("CBKS601", "01 R. 05 A PIC X. 66 Z RENAMES Q."), ("CBKS602", "01 R. 05 A PIC X. 66 Z RENAMES A THRU Q."), ("CBKS604", "01 R. 05 A PIC X. 05 B PIC X. 66 Z RENAMES B THRU A."),
-    ("CBKS608", "01 R. 05 A PIC X OCCURS 3. 66 Z RENAMES A."), ("CBKS607", "01 R. 05 A PIC X. 05 B REDEFINES A PIC X. 66 Z RENAMES A THRU B."),
+    ("CBKS607", "01 R. 05 A PIC X OCCURS 3. 66 Z RENAMES A."), ("CBKS609", "01 R. 05 A PIC X. 05 B REDEFINES A PIC X. 66 Z RENAMES A THRU B."),
+    ("CBKS605", "01 R. 05 G. 10 A PIC X. 05 B PIC X. 66 Z RENAMES G THRU B."), ("CBKS606", "01 R. 05 B PIC X. 05 G. 10 A PIC X. 66 Z RENAMES B THRU G."),
+    ("CBKS612", "01 R. 05 N PIC 9. 05 A PIC X OCCURS 1 TO 3 DEPENDING ON N. 66 Z RENAMES N THRU A."),
 ])
 def test_error_codes(code, text):
     with pytest.raises(LayoutError) as e:
@@ -43,6 +45,28 @@ def test_error_codes(code, text):
     assert e.value.code == code
 
 
+@pytest.mark.parametrize("code, text", [
+    ("CBKS610", "01 R. 05 A PIC X. 05 B REDEFINES A PIC X. 05 C REDEFINES A PIC X. 66 Z RENAMES A THRU C."),
+    ("CBKS611", "01 R. 05 A PIC X. 05 B PIC X OCCURS 3. 66 Z RENAMES A THRU B."),
+])
+def test_error_codes_of_deep_aliases(code, text):
+    with pytest.raises(LayoutError) as e:
+        parse(text, flags={"renames_r4_r6": True})
+    assert e.value.code == code
+
+
+def test_flags_and_comments():
+    for text, flag in (("01 R. 05 A COMP-1.", "comp_1"), ("01 R. 05 A COMP-2.", "comp_2"), ("01 R. 05 A PIC S9 SIGN LEADING SEPARATE.", "sign_separate")):
+        parse(text)
+        with pytest.raises(LayoutError, match="CBKP011"):
+            parse(text, flags={flag: False})
+    assert parse("01 R. 05 A PIC X. *> note\n").lrecl == 1
+    with pytest.raises(LayoutError, match="CBKP001"):
+        parse("01 R. 05 A PIC X. *> note\n", inline_comments=False)
+    a = parse("01 R. 05 G. 10 A PIC X(2). 10 B PIC X(3). 05 C PIC X. 66 Z RENAMES B OF G.").find("Z")
+    assert (a.offset, a.size, a.members) == (2, 3, ["R.G.B"])
+
+
 def test_pictures():
     assert expand("S9(3)V99") == "S999V99" and picture("S9(7)V99") == {"kind": "zoned", "digits": 9, "scale": 2, "signed": True, "size": 9}
     p = picture("$ZZ,ZZ9.99CR")

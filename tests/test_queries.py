@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
-from tapedeck import queries  # noqa: E402
+from tapedeck import queries, queries_more  # noqa: E402, F401
 
 
 def plain(v):

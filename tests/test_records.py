@@ -24,6 +24,7 @@ VECTORS = [
     ("S9(5) LEADING SEPARATE", "60F0F0F1F2F3", -123, None), ("S9(5) SIGN TRAILING SEPARATE", "F0F0F1F2F34E", 123, None), ("S9(5) LEADING SEPARATE", "61F0F0F1F2F3", None, "CBKD411"),
     ("9(3) BLANK WHEN ZERO", "404040", 0, "CBKD412"), ("9(3)", "404040", None, "CBKD411"), ("9(3)", "F1F2", None, "CBKD301"),
     ("S9(3)V99 COMP-3", "12345C", Decimal("123.45"), None), ("ZZ9.99-", "40404BF1F2", None, "CBKD301"), ("ZZ9.99-", "4040F14BF2F360", Decimal("-1.23"), None), ("ZZ9.99", "40C1F14BF2F3", None, "CBKD421"),
+    ("ZZ9.99-", "4040F14BF2F3F0", None, "CBKD422"), ("ZZ9.99CR", "4040F14BF2F3C3D9", Decimal("-1.23"), None), ("+ZZ9", "604040F1", -1, None), ("+ZZ9", "404040F1", 1, None),
 ]
 
 
@@ -76,6 +77,28 @@ def test_encode_errors(spark):
         assert [e.code for e in r._errors] == [code], (clause, r)
 
 
+def test_separate_signs_cut_and_overflow(spark):
+    l = parse("01 R. 05 V PIC S9(2)V9 SIGN TRAILING SEPARATE.")
+    r = records.encode(spark.createDataFrame([(Decimal("1.29"),), (Decimal("-1.29"),), (Decimal("123.4"),)], "V decimal(10,2)"), l).collect()
+    assert [bytes(x.payload).decode("cp037") for x in r[:2]] == ["012+", "012-"] and [[e.code for e in x._errors] for x in r] == [[], [], ["CBKE530"]]
+
+
+def test_detected_zones_and_their_metadata(spark):
+    l = parse("01 R. 05 A PIC S9(3). 05 B PIC 9(3).")
+    rows = [b"\xf1\xf2\xd3" + b"123", b"12J" + b"\xf1\xf2\xf3", b"1\xf23" + b"123", b"\xf1\xf2\xf3" + b"12C", b"\xf1\xc2\xf3" + b"\x00\x00\x00"]
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(rows)], "i int, payload binary")
+    o = Options(detect_zones=True)
+    r = records.decode(df, l, options=o, keep=["i"], zone_metadata=True).orderBy("i").collect()
+    assert [(x.A, x.B) for x in r] == [(-123, 123), (-121, 123), (None, 123), (123, None), (None, None)]
+    assert [[e.code for e in x._errors] for x in r] == [[], [], ["CBKD414"], ["CBKD413"], ["CBKD411", "CBKD414"]]
+    assert r[0]._encoding_metadata == {"A": "ebcdic", "B": "ascii"} and r[2]._encoding_metadata == {"B": "ascii"}
+    good = records.decode(df.where("i < 2"), l, options=o, keep=["i"], zone_metadata=True)
+    again = records.encode(good, l, keep=["i"], zone_metadata="_encoding_metadata").orderBy("i").collect()
+    assert [bytes(x.payload) for x in again] == rows[:2]
+    forced = records.encode(good, l, keep=["i"], zone_metadata="_encoding_metadata", options=Options(zoned_override="ascii")).orderBy("i").collect()
+    assert [bytes(x.payload) for x in forced] == [b"12L123", b"12J123"]
+
+
 @pytest.mark.parametrize("page", ["cp037", "cp273", "cp500", "cp1047", "cp1140"])
 def test_code_pages(spark, page):
     chars = codepages.page(page)
@@ -141,9 +164,16 @@ def test_files(spark, tmp_path):
     got = frames.read_rdw(spark, str(tmp_path / "v.rdw")).orderBy("record_index").collect()
     assert [(bytes(r.payload), r.error) for r in got] == [(b"TEST", None), (b"", None), (b"ab", "CBKR211")]
     (tmp_path / "t.rdw").write_bytes(b"1234abc")
-    assert frames.read_rdw(spark, str(tmp_path / "t.rdw")).first().error == "CBKF102"
-    with pytest.raises(Exception, match="CBKF102"):
+    assert frames.read_rdw(spark, str(tmp_path / "t.rdw")).first().error == "CBKF104"  # before the payload is looked at
+    with pytest.raises(Exception, match="CBKR211"):  # strict: reserved bytes come first ("34")
         frames.read_rdw(spark, str(tmp_path / "t.rdw"), strict=True).collect()
+    (tmp_path / "u.rdw").write_bytes(bytes.fromhex("00090000") + b"abc")
+    assert frames.read_rdw(spark, str(tmp_path / "u.rdw")).first().error == "CBKF102"
+    (tmp_path / "w.rdw").write_bytes(bytes.fromhex("00010000") + b"a" + b"\0\1")
+    assert frames.read_rdw(spark, str(tmp_path / "w.rdw")).count() == 1
+    with pytest.raises(Exception, match="CBKF221"):
+        frames.read_rdw(spark, str(tmp_path / "w.rdw"), strict=True).collect()
+    assert [tuple(r) for r in frames.read_rdw(spark, str(tmp_path / "v.rdw"), whole=True).collect()] == [tuple(r) for r in frames.read_rdw(spark, str(tmp_path / "v.rdw")).collect()]
     df = spark.createDataFrame([(bytearray(b"x" * n),) for n in (3, 0, 5)], "payload binary").coalesce(1)
     frames.write_bytes(df.select(frames.rdw_of(F.col("payload")).alias("b")), "b", f"file://{tmp_path}/out")
     assert sorted(len(r.payload) for r in frames.read_rdw(spark, f"{tmp_path}/out").collect()) == [0, 3, 5]
@@ -151,6 +181,39 @@ def test_files(spark, tmp_path):
     assert frames.read_fixed(spark, f"{tmp_path}/fixed_out", 5).count() == 3
 
 
+def test_a_large_fixed_file_is_read_by_many_tasks(spark, tmp_path):
+    n, lrecl = 400_000, 40
+    (tmp_path / "a.bin").write_bytes(b"".join(b"%040d" % i for i in range(1, n + 1)))
+    (tmp_path / "b.bin").write_bytes(b"%040d" % 7)
+    spark.sparkContext._jsc.hadoopConfiguration().set("mapreduce.input.fileinputformat.split.maxsize", str(1 << 20))
+    try:
+        got = frames.read_fixed_indexed(spark, str(tmp_path), lrecl)
+        assert got.rdd.getNumPartitions() > 8
+        one = got.where(F.col("path").endswith("a.bin")).select("record_index", F.decode("payload", "UTF-8").cast("bigint").alias("v"))
+        r = one.agg(F.count("*"), F.count_distinct("record_index"), F.min("record_index"), F.max("record_index"), F.count_if(F.col("record_index") != F.col("v"))).first()
+        assert tuple(r) == (n, n, 1, n, 0) and got.count() == n + 1
+    finally:
+        spark.sparkContext._jsc.hadoopConfiguration().unset("mapreduce.input.fileinputformat.split.maxsize")
+
+
+def test_an_rdw_file_is_a_stream_of_bounded_batches(tmp_path):
+    record = struct.pack(">HH", 60_000, 0) + b"x" * 60_000
+
+    class Endless:
+        left = 2000  # 120 MB
+
+        def read(self, n):
+            if not self.left:
+                return b""
+            if n == 4:
+                return record[:4]
+            self.left -= 1
+            return record[4 : 4 + n]
+
+    sizes = [b.nbytes for b in frames._batches(Endless(), False)]
+    assert len(sizes) > 10 and max(sizes) < 2 * frames.CHUNK
+
+
 def test_json_round_trip(spark):
     layout = parse("01 R. 05 A PIC 9(3). 05 B PIC X(2).")
     data = records.encode(spark.createDataFrame([(7, "xy")], "A int, B string"), layout).withColumn("record_index", F.lit(1))
@@ -172,9 +235,9 @@ def test_stream(spark, tmp_path):
 
 def test_audit_rules(spark):
     d = spark.createDataFrame([("AES-128", 1.1, 120, False, "1.2.3.4"), ("AES-256", 1.3, 30, True, "9.9.9.9")], "c string, t double, r int, ok boolean, ip string")
-    r = d.select(audit.encryption_findings(F.col("c"), F.col("t"), F.col("r")).alias("e"), audit.access_findings(F.col("ok"), F.col("ip"), ["9.9.9.9"]).alias("a"), audit.violations({"signed_off": F.col("ok"), "encrypted": F.lit(True)}).alias("v"), audit.sensitive(F.lit("R.CARD-NO")).alias("s")).collect()
+    r = d.select(audit.encryption_findings(F.col("c"), F.col("t"), F.col("r")).alias("e"), audit.access_findings(F.col("ok"), F.col("ip"), ["9.9.9.9"]).alias("a"), audit.violations({"segregation_of_duties": F.col("ok"), "at_rest_encrypted": F.lit(True)}).alias("v"), audit.sensitive(F.lit("R.CARD-NO")).alias("s")).collect()
     assert r[0].e == ["weak_cipher", "old_tls", "stale_key"] and r[1].e == [] and r[0].a == ["failed_access"] and r[1].a == ["suspicious_address"]
-    assert [x.rule for x in r[0].v] == ["SOX-302"] and r[1].v == [] and r[0].s
+    assert [x.rule for x in r[0].v] == ["SOX-302-001", "SOX-404-001"] and [x.rule for x in r[1].v] == ["SOX-302-001"] and r[0].s
     a, b = parse("01 R. 05 A PIC X. 05 B PIC 9."), parse("01 R. 05 A PIC 9. 05 B PIC 9.")
     l = {x.source: (x.transformation, x.confidence) for x in audit.lineage(a.table(spark), b.table(spark)).collect()}
     assert l["R.A"] == ("conversion", 0.75) and l["R.B"] == ("direct", 1.0)
