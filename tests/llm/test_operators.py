@@ -223,10 +223,49 @@ def test_fingerprints(docs, odd):
 
 def test_next_row_with_ties_and_nulls(spark):
     d = spark.createDataFrame([(None, "n"), (3, "c"), (3, "c"), (2, None), (1, "a")], "k bigint, t string")
-    got = fingerprint.with_next(d, "k", {"u": F.upper("t")}, 3).select("k", "t", "next.k", "next.u").collect()
+    got, name = fingerprint.with_next(d, "k", {"u": F.upper("t")}, 3)
+    got = got.select("k", "t", f"{name}.k", f"{name}.u").collect()
     assert Counter(map(tuple, got)) == Counter([(3, "c", 3, "C"), (3, "c", 2, None), (2, None, 1, "A"), (1, "a", None, "N"), (None, "n", 3, "C")])
 
 
+def test_next_row_of_a_hot_key_is_one_ring(spark):
+    d = spark.createDataFrame([(i if i % 3 else 7, f"t{i}", "mine") for i in range(600)] + [(None, f"n{i}", "mine") for i in range(200)], "k bigint, t string, next string")
+    got, name = fingerprint.with_next(d, "k", {}, 20)
+    assert name != "next" and got.columns == [*d.columns, name]
+    after = {r.t: (r[name].t, r.k, r[name].k) for r in got.collect()}
+    assert len(after) == 800 and len({t for t, _, _ in after.values()}) == 800
+    at, seen, rises = "t0", set(), 0
+    while at not in seen:  # one ring through all rows, in which the key rises once
+        seen.add(at)
+        at, k, other = after[at]
+        rises += (other is not None) and (k is None or other > k)
+    assert len(seen) == 800 and rises == 1
+
+
+def test_places_by_halving(spark):
+    cuts = [1, 3, 3, 3, 8]
+    got = spark.range(-1, 11).select("id", fingerprint._place(cuts, F.col("id"), False).alias("a"), fingerprint._place(cuts, F.col("id"), True).alias("b")).collect()
+    assert [(r.a, r.b) for r in got] == [(sum(c < r.id for c in cuts), sum(c <= r.id for c in cuts)) for r in got]
+
+
+def test_sketch_equals_brute_force(spark):
+    """The k least hashes of the distinct shingles, by Spark's own hash of each."""
+    r = random.Random(1)
+    texts = [" ".join(f"w{r.randrange(30)}" for _ in range(n)) for n in (0, 1, 4, 5, 6, 40, 300)] + ["a  b\tc\nd e f", None]
+    for t in texts:
+        w = [x for x in re.split("[ \t\n\x0b\f\r]+", t or "") if x]
+        shingles = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+        words = {x: h for x, h in spark.createDataFrame([(x,) for x in set(w)] or [("",)], "x string").select("x", F.xxhash64("x")).collect()}
+        lists = [[words[x] for x in s] for s in shingles]
+        if lists and len(w) >= 5:
+            want = [h >> 32 for (h,) in spark.createDataFrame(lists, ", ".join(f"c{i} bigint" for i in range(5))).select(F.xxhash64(*[f"c{i}" for i in range(5)])).collect()]
+        else:
+            want = [h >> 32 for (h,) in spark.createDataFrame([(x,) for x in lists], "c array<bigint>").select(F.xxhash64("c")).collect()]
+        want = sorted({h % (1 << 32) for h in want})[:16]
+        got = spark.createDataFrame([(t,)], "t string").select(fingerprint.sketch(F.coalesce("t", F.lit("")), 16).alias("s")).first().s
+        assert got == want, t
+
+
 def test_sketches_merge(spark):
     texts = [" ".join(f"w{i}" for i in range(a, b)) for a, b in ((0, 400), (200, 700))]
     d = spark.createDataFrame([(1, *texts)], "k int, a string, b string").select("k", fingerprint.sketch(F.col("a")).alias("a"), fingerprint.sketch(F.col("b")).alias("b"))
