@@ -205,8 +205,11 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         for k, grams in enumerate(alternatives(trigram_query(r.pattern))):
             of = sorted(grams)[:62]
             rows += [(g, 1 << rank, k, 1 << i, (1 << len(of)) - 1) for i, g in enumerate(of)]
-    spark = index.sparkSession
-    wanted = spark.createDataFrame(rows, "trigram string, rule bigint, alternative int, bit bigint, every bigint")
+    names = ("trigram", "rule", "alternative", "bit", "every")
+    if not rows:
+        return index.select("key", F.lit(0).cast("long").alias("rules")).limit(0)
+    table = F.array(*[F.struct(*[F.lit(v).cast("string" if n == "trigram" else "bigint").alias(n) for n, v in zip(names, r)]) for r in rows])
+    wanted = index.sparkSession.range(1).select(F.inline(table))
     hits = index.join(F.broadcast(wanted), "trigram").groupBy("key", "rule", "alternative", "every").agg(F.bit_or("bit").alias("bits"))
     return hits.where("bits = every").groupBy("key").agg(F.bit_or("rule").alias("rules"))
 
