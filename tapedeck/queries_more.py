@@ -312,12 +312,13 @@ def first_code(errors: str = "_errors"):
     return F.coalesce(F.try_element_at(errors, F.lit(1))["code"], F.lit(""))
 
 
-_K = F.col("c_custkey")
+def _k():
+    return F.col("c_custkey")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'CBKC301' ELSE '' END AS code, CASE WHEN c_custkey % 3 = 0 THEN 'AB' || chr(65533) ELSE 'ABC' END AS replaced, CASE WHEN c_custkey % 3 = 0 THEN 'AB' ELSE 'ABC' END AS skipped FROM customer")
 def charset_controls(spark, sf_dir):
-    raw = F.when(_K % 3 == 0, F.lit(b"\xc1\xc2\x01")).otherwise(F.lit(b"\xc1\xc2\xc3"))
+    raw = F.when(_k() % 3 == 0, F.lit(b"\xc1\xc2\x01")).otherwise(F.lit(b"\xc1\xc2\xc3"))
     of = lambda policy: decoded(spark, sf_dir, "PIC X(3)", raw, Options(unmappable=policy))
     a, b, c = of("error").select("c_custkey", first_code().alias("code")), of("replace").select("c_custkey", F.col("V").alias("replaced")), of("skip").select("c_custkey", F.col("V").alias("skipped"))
     return a.join(b, "c_custkey").join(c, "c_custkey")
@@ -326,7 +327,7 @@ def charset_controls(spark, sf_dir):
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 123 END AS plain, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'CBKD411' END AS code, 123 AS signed FROM customer")
 def ascii_zones(spark, sf_dir):
     """The last byte of an unsigned number must be a plain digit."""
-    raw = F.when(_K % 2 == 0, F.lit(b"123")).otherwise(F.lit(b"12C"))
+    raw = F.when(_k() % 2 == 0, F.lit(b"123")).otherwise(F.lit(b"12C"))
     a = decoded(spark, sf_dir, "PIC 9(3)", raw, Options("ascii")).select("c_custkey", F.col("V").cast("int").alias("plain"), first_code().alias("code"))
     b = decoded(spark, sf_dir, "PIC S9(3)", raw, Options("ascii")).select("c_custkey", F.col("V").cast("int").alias("signed"))
     return a.join(b, "c_custkey")
@@ -335,7 +336,7 @@ def ascii_zones(spark, sf_dir):
 @query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN -123 WHEN 1 THEN -121 END AS v, CASE c_custkey % 4 WHEN 2 THEN 'CBKD414' WHEN 3 THEN 'CBKD414' ELSE '' END AS code, CASE c_custkey % 4 WHEN 0 THEN 'ebcdic' WHEN 1 THEN 'ascii' ELSE '' END AS encoding FROM customer")
 def zoned_detection(spark, sf_dir):
     """Numbers in either encoding, mixed ones and ones without zones."""
-    k = _K % 4
+    k = _k() % 4
     raw = F.when(k == 0, F.lit(b"\xf1\xf2\xd3")).when(k == 1, F.lit(b"12J")).when(k == 2, F.lit(b"1\xf23")).otherwise(F.lit(b"\x01\x02\x03"))
     r = decoded(spark, sf_dir, "PIC S9(3)", raw, Options(detect_zones=True), zone_metadata=True)
     return r.select("c_custkey", F.col("V").cast("int").alias("v"), first_code().alias("code"), F.coalesce(F.try_element_at("_encoding_metadata", F.lit("V")), F.lit("")).alias("encoding"))
@@ -343,7 +344,7 @@ def zoned_detection(spark, sf_dir):
 
 @query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN -123 WHEN 1 THEN 123 END AS cents, CASE c_custkey % 4 WHEN 2 THEN 'CBKD422' WHEN 3 THEN 'CBKD421' ELSE '' END AS code FROM customer")
 def edited_faults(spark, sf_dir):
-    k = _K % 4
+    k = _k() % 4
     raw = F.when(k == 0, F.lit(b"  1.23-")).when(k == 1, F.lit(b"  1.23 ")).when(k == 2, F.lit(b"  1.23x")).otherwise(F.lit(b"  x.23-"))
     return decoded(spark, sf_dir, "PIC ZZ9.99-", raw, Options("ascii")).select("c_custkey", (F.col("V") * 100).cast("int").alias("cents"), first_code().alias("code"))
 
@@ -385,8 +386,8 @@ _V = "(c_custkey % 5 - 2)"
 def zoned_metadata(spark, sf_dir):
     """Numbers written in the encoding that the record's metadata names; zero keeps its policy."""
     layout = parse("01 R.\n 05 V PIC S9(3).")
-    said = F.when(_K % 3 == 0, F.create_map(F.lit("V"), F.lit("ascii"))).when(_K % 3 == 1, F.create_map(F.lit("V"), F.lit("ebcdic")))
-    c = table(spark, sf_dir, "customer").select("c_custkey", (_K % 5 - 2).alias("V"), said.alias("said"))
+    said = F.when(_k() % 3 == 0, F.create_map(F.lit("V"), F.lit("ascii"))).when(_k() % 3 == 1, F.create_map(F.lit("V"), F.lit("ebcdic")))
+    c = table(spark, sf_dir, "customer").select("c_custkey", (_k() % 5 - 2).alias("V"), said.alias("said"))
     return records.encode(c, layout, keep=["c_custkey"], zone_metadata="said").select("c_custkey", F.hex("payload").alias("h"))
 
 
@@ -395,7 +396,7 @@ def raw_replay(spark, sf_dir):
     """Kept bytes are written again, with the descriptor left off; checked: only if they agree."""
     o = Options("ascii")
     layout = parse("01 R.\n 05 V PIC X(4).", codepage="ascii")
-    raw = F.when(_K % 2 == 0, F.base64(F.lit(b"\0\x04\0\0RAWS")))
+    raw = F.when(_k() % 2 == 0, F.base64(F.lit(b"\0\x04\0\0RAWS")))
     c = table(spark, sf_dir, "customer").select("c_custkey", F.lit("TEXT").alias("V"), raw.alias("raw"))
     a = records.encode(c, layout, options=o, keep=["c_custkey"], raw="raw", raw_header=True)
     b = records.encode(c, layout, options=o, keep=["c_custkey"], raw="raw", raw_header=True, verified=True)
@@ -407,7 +408,7 @@ def coerced_numbers(spark, sf_dir):
     """A number in a text field: written as text, or refused."""
     o = Options("ascii")
     layout = parse("01 R.\n 05 V PIC X(8).", codepage="ascii")
-    c = table(spark, sf_dir, "customer").select("c_custkey", _K.alias("V"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", _k().alias("V"))
     a = records.encode(c, layout, options=o, keep=["c_custkey"]).select("c_custkey", F.decode("payload", "UTF-8").alias("x"))
     b = records.encode(c, layout, options=o, keep=["c_custkey"], coerce=False).select("c_custkey", first_code().alias("code"))
     t = F.rtrim("x")
@@ -433,7 +434,7 @@ def missing_fields(spark, sf_dir):
 def nested_arrays(spark, sf_dir):
     """An array in the elements of an array."""
     layout = parse("01 R.\n 05 G OCCURS 2 TIMES.\n 10 T PIC X(1).\n 10 B PIC 9 OCCURS 3 TIMES.", codepage="ascii")
-    digit = lambda i: ((_K + i) % 10).cast("string")
+    digit = lambda i: ((_k() + i) % 10).cast("string")
     text = F.concat(*[F.concat(F.lit("x"), *[digit(3 * g + i) for i in range(3)]) for g in range(2)])
     c = table(spark, sf_dir, "customer").select("c_custkey", text.cast("binary").alias("payload"))
     r = records.decode(c, layout, options=Options("ascii"), keep=["c_custkey"], mode="drop")
@@ -444,7 +445,7 @@ def nested_arrays(spark, sf_dir):
 def array_beyond_record(spark, sf_dir):
     """A record that ends before its array does."""
     layout = parse("01 R.\n 05 N PIC 9.\n 05 A PIC X OCCURS 0 TO 9 TIMES DEPENDING ON N.", codepage="ascii")
-    raw = F.concat(F.lit("3"), F.repeat(F.lit("x"), (_K % 5).cast("int"))).cast("binary")
+    raw = F.concat(F.lit("3"), F.repeat(F.lit("x"), (_k() % 5).cast("int"))).cast("binary")
     c = table(spark, sf_dir, "customer").select("c_custkey", raw.alias("payload"))
     r = records.decode(c, layout, options=Options("ascii"), keep=["c_custkey"])
     return r.select("c_custkey", F.size("A").alias("n"), first_code().alias("code"))
@@ -494,8 +495,8 @@ def fidelity(spark, sf_dir):
 @query("SELECT c_custkey, cast(c_custkey % 5 AS int) AS \"offset\", 'ebcdic' AS kind FROM customer WHERE c_custkey % 7 = 0")
 def ebcdic_corruption(spark, sf_dir):
     """Control bytes in text."""
-    place = (_K % 5).cast("int")
-    raw = F.concat(F.repeat(F.lit("A"), place).cast("binary"), F.when(_K % 7 == 0, F.lit(b"\x07")).otherwise(F.lit(b"A")), F.repeat(F.lit("A"), 4 - place).cast("binary"))
+    place = (_k() % 5).cast("int")
+    raw = F.concat(F.repeat(F.lit("A"), place).cast("binary"), F.when(_k() % 7 == 0, F.lit(b"\x07")).otherwise(F.lit(b"A")), F.repeat(F.lit("A"), 4 - place).cast("binary"))
     c = table(spark, sf_dir, "customer").select("c_custkey", raw.alias("payload"))
     return integrity.corruption(c, payload="payload", index="c_custkey", ebcdic=[("N", 0, 5)]).select("c_custkey", "offset", "kind")
 
@@ -594,8 +595,8 @@ SELECT 'PCI-10.1-001', count(*) FROM p UNION ALL SELECT 'PCI-10.5.1-001', count(
 SELECT rule, n FROM r WHERE n > 0""")
 def compliance(spark, sf_dir):
     """Broken rules of four standards, by operation."""
-    note = F.when(_K % 3 == 0, "stores_full_pan").when(_K % 3 == 1, "processing_purpose").otherwise("transmits_cardholder_data")
-    even, fifth = _K % 2 == 0, _K % 5 == 0
+    note = F.when(_k() % 3 == 0, "stores_full_pan").when(_k() % 3 == 1, "processing_purpose").otherwise("transmits_cardholder_data")
+    even, fifth = _k() % 2 == 0, _k() % 5 == 0
     context = {
         "integrity_protection": even, "segregation_of_duties": even, "role_based_access": even, "at_rest_encrypted": fifth,
         "classification": F.when(fifth, "material").otherwise("PHI"), "notes": F.create_map(note, F.lit("yes")),
@@ -627,7 +628,7 @@ _NAMES = ["CUST-SSN", "ROUTING-NO", "TAX-ID", "TAXES", "PIN-CODE", "NAME", "Secr
 
 @query(f"SELECT c_custkey, n AS field, n IN ('CUST-SSN', 'ROUTING-NO', 'TAX-ID', 'PIN-CODE', 'Secret-Key') AS sensitive FROM (SELECT c_custkey, list_extract({_NAMES}, cast(c_custkey % {len(_NAMES)} + 1 AS int)) AS n FROM customer)")
 def sensitive_fields(spark, sf_dir):
-    name = F.element_at(F.array(*map(F.lit, _NAMES)), (_K % len(_NAMES) + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (_k() % len(_NAMES) + 1).cast("int"))
     return table(spark, sf_dir, "customer").select("c_custkey", name.alias("field"), audit.sensitive(name).alias("sensitive"))
 
 
