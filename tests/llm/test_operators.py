@@ -551,6 +551,15 @@ def test_a_state_is_a_distribution(stories):
     assert len(tree.words) == model.distinct
 
 
+def test_index_of_sorted_keys():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 5, 50_000):
+        keys = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        asked = np.concatenate((keys, r.integers(0, 1 << 63, 3000, dtype=np.uint64), keys[:50] ^ np.uint64(1 << 40)))
+        at, there = suffix_tree.Index(keys).find(asked)
+        assert there.tolist() == np.isin(asked, keys).tolist() and (keys[at[there]] == asked[there]).all()
+
+
 def test_sequences():
     texts = ["A b  a\tB é".encode(), b"", b"  ", ("x" * 50 + " y ").encode() * 60_000]
     s, doc, place = suffix_tree.sequence(texts)
