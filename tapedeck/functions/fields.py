@@ -114,6 +114,10 @@ _PLUS, _MINUS = "{ABCDEFGHI", "}JKLMNOPQR"
 _PLUS_OUT, _MINUS_OUT = "ABCDEFGHIJ", "KLMNOPQRST"  # stand for a signed last digit below
 
 
+#: What a cast to a number would overlook: blanks and controls around it, signs and points.
+_FORGIVEN = "".join(map(chr, [*range(33), *range(127, 161)])) + "+-."
+
+
 def _latin(zone: int) -> str:
     """The ten characters of a zone's bytes in Latin-1."""
     return "".join(chr(zone << 4 | d) for d in range(10))
@@ -122,10 +126,10 @@ def _latin(zone: int) -> str:
 def _marked(raw: Column, plain: str, plus: str, minus: str) -> Column:
     """One character for each byte: digits of the plain zone as they are, signed ones as the
     letters of ``_PLUS_OUT`` and ``_MINUS_OUT``, and ``x`` for what a cast would forgive."""
-    pairs = {c: "x" for c in [*map(chr, range(33)), *_DIGITS, *"+-.ABCDEFGHIJKLMNOPQRST", "\x7f", *map(chr, range(128, 161))]}
+    pairs = {c: "x" for c in [*_FORGIVEN, *_DIGITS, *"ABCDEFGHIJKLMNOPQRST"]}
     for found, stands in ((plain, _DIGITS), (plus, _PLUS_OUT), (minus, _MINUS_OUT)):
         pairs |= dict(zip(found, stands))
-    pairs = {a: b for a, b in pairs.items() if a != b and a != "\0"}
+    pairs = {a: b for a, b in pairs.items() if a != b}
     return F.translate(F.decode(raw, "ISO-8859-1"), "".join(pairs), "".join(pairs.values()))
 
 
@@ -174,7 +178,7 @@ def _separate(f: Field, raw: Column, o: Options) -> Decoded:
     head = f.sign == "leading"
     mark, digits = (F.substring(t, 1, 1), F.substring(t, 2, f.digits)) if head else (F.substring(t, f.digits + 1, 1), F.substring(t, 1, f.digits))
     if f.digits <= LONG:  # what a cast would forgive is made invalid
-        digits = F.translate(digits, " +-.\t\n\r\x0b\x0c", "xxxxxxxxx")
+        digits = F.translate(digits, _FORGIVEN, "x" * len(_FORGIVEN))
     value = _number(digits, mark == "-", mark.isin("-", "+", " ", "0") & (F.length(raw) == f.size), f.digits, f.scale)
     return Decoded(value, _padded(value, f), F.when(value.isNull(), F.lit("CBKD411")), value.isNotNull())
 

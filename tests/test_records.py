@@ -24,6 +24,9 @@ VECTORS = [
     ("S9(5) LEADING SEPARATE", "60F0F0F1F2F3", -123, None), ("S9(5) SIGN TRAILING SEPARATE", "F0F0F1F2F34E", 123, None), ("S9(5) LEADING SEPARATE", "61F0F0F1F2F3", None, "CBKD411"),
     ("9(3) BLANK WHEN ZERO", "404040", 0, "CBKD412"), ("9(3)", "404040", None, "CBKD411"), ("9(3)", "F1F2", None, "CBKD301"),
     ("S9(3)V99 COMP-3", "12345C", Decimal("123.45"), None), ("ZZ9.99-", "40404BF1F2", None, "CBKD301"), ("ZZ9.99-", "4040F14BF2F360", Decimal("-1.23"), None), ("ZZ9.99", "40C1F14BF2F3", None, "CBKD421"),
+    ("9(3)", "00F1F2", None, "CBKD411"), ("9(3)", "F1F200", None, "CBKD411"), ("9(3)", "F115F2", None, "CBKD411"), ("S9(3)", "40F1C2", None, "CBKD411"), ("S9(3)", "4EF1C2", None, "CBKD411"),
+    ("S9(2) LEADING SEPARATE", "4E01F1", None, "CBKD411"), ("S9(2) LEADING SEPARATE", "4EF140", None, "CBKD411"), ("S9(2) TRAILING SEPARATE", "00F14E", None, "CBKD411"),
+    ("9(20)", "F0" * 19 + "F7", 7, None), ("9(20)", "F0" * 19 + "C7", None, "CBKD411"), ("S9(20)", "F0" * 19 + "D7", -7, None), ("S9(20) COMP-3", "0" * 19 + "12D", -12, None), ("S9(20) COMP-3", "0" * 18 + "E12D", None, "CBKD401"),
     ("ZZ9.99-", "4040F14BF2F3F0", None, "CBKD422"), ("ZZ9.99CR", "4040F14BF2F3C3D9", Decimal("-1.23"), None), ("+ZZ9", "604040F1", -1, None), ("+ZZ9", "404040F1", 1, None),
 ]
 
