@@ -65,6 +65,21 @@ def test_operators_on_empty_tables(spark, empty):
     items = spark.createDataFrame([], "item_id bigint, text string")
     for got in (decontaminate.report(empty, items), packing.report(empty), fingerprint.report(empty), shards.report(empty), pii.report(empty), secrets.report(empty), tokens.report(empty), suffix_tree.report(empty), simhash.report(empty), toxicity.report(empty, labels), simhash.keep_one(empty), secrets.redact(empty)):
         assert got.count() == 0
+    sketches = empty.select("doc_id", fingerprint.sketch(F.col("text")).alias("s"))
+    placed, *_ = shards.interleave(empty, doc_id="doc_id", source="source", tie=[])
+    for got in (decontaminate.clean(empty, items), toxicity.reject(empty, labels), pii.redact(empty), likeness.keep_one(empty), fingerprint.merge_groups(sketches, "doc_id", "s"), suffix_tree.score(empty, empty)[0], placed):
+        assert got.count() == 0
+
+
+def test_callers_columns_stay(odd):
+    """Columns of any names go through; rows are neither added nor lost."""
+    items = odd.sparkSession.createDataFrame([(99, "nothing of this is anywhere")], "item_id bigint, text string")
+    labels = odd.sparkSession.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    whole = sorted(map(repr, odd.drop("text").collect()))
+    for got in (decontaminate.clean(odd, items), pii.redact(odd), secrets.redact(odd), toxicity.reject(odd, labels, threshold=1.1)):
+        assert got.columns == odd.columns and sorted(map(repr, got.drop("text").collect())) == whole
+    scored, _ = suffix_tree.score(odd, odd)
+    assert [c for c in scored.columns if c not in ("n_tokens", "n_known", "base_score", "score")] == [c for c in odd.columns if c not in ("text", "score")] and scored.count() == odd.count()
 
 
 # --- decontamination -------------------------------------------------------------------
