@@ -33,7 +33,7 @@ from .common import BROADCAST_LIMIT, blocks, chunks, fresh, ragged, stored, text
 
 WINDOW = 8
 #: Bytes that are hashed at once.
-PIECE = 8 << 20
+PIECE = 1 << 18
 #: Proximity for production: finds a word changed, inserted or dropped in each window.
 NEAR = {"slop": 1, "least": 7}
 #: Lower-cases A-Z and turns every byte that is in no word into a space.
