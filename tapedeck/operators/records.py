@@ -125,6 +125,9 @@ class Plan:
         inside = lambda i: _together(self._one(f, place(i), True)[1])
         return value, [*faults, Many(F.flatten(F.transform(indices, inside)))]
 
+    def _first_name(self, top: list[Field]) -> str:
+        return next(f.name for f in top if f.kind != "condition" and not (f.filler and not self.layout.emit_filler))
+
     def columns(self) -> tuple[list[Column], Column]:
         """The record's columns and its array of errors. The codes and places of faults are
         worked out only for records in which some field isn't plainly good."""
@@ -134,6 +137,11 @@ class Plan:
                 columns.append(value.alias(name))
                 faults += more
         none = F.array().cast(_ERRORS)
+        if len(columns) > 4:
+            # A lambda keeps this projection out of whole-stage code: there all fields would share
+            # one method, too long for the JIT compiler. By itself it is compiled in pieces.
+            there = F.exists(F.array(F.length(self.payload) >= 0), lambda x: x)
+            columns[0] = F.when(there, columns[0]).alias(self._first_name(self.layout.top()))
         return columns, F.when(_every(self.good), none).otherwise(_together(faults)) if faults else none
 
 
@@ -263,9 +271,11 @@ def encode(df: DataFrame, layout: Layout, *, options: Options | None = None, out
         data = F.when(replay == data, replay).otherwise(data) if verified else F.coalesce(replay, data)
     errors = F.filter(F.array(*faults), lambda e: e.isNotNull()) if faults else F.array()
     # A generator of one row: the optimizer doesn't merge what reads the bytes into what makes
-    # them, which would encode a record again for each of its fields.
-    once = F.explode(F.array(F.struct(data.alias(out), errors.cast(_ERRORS).alias("_errors"))))
-    return df.select(*[F.col(c) for c in keep or []], once.alias("_record")).select(*(keep or []), f"_record.{out}", "_record._errors")
+    # them, which would encode a record again for each of its fields. The bytes are made in the
+    # projection below it, where they are compiled; a generator's own input would be interpreted.
+    made = df.select(*[F.col(c) for c in keep or []], F.struct(data.alias(out), errors.cast(_ERRORS).alias("_errors")).alias("_made"))
+    once = made.select(*(keep or []), F.explode(F.array("_made")).alias("_record"))
+    return once.select(*(keep or []), f"_record.{out}", "_record._errors")
 
 
 def envelope(df: DataFrame, layout: Layout, *, payload: str = "payload", index: str = "record_index", options: Options | None = None, raw: str = "off", header: str | None = None, native: bool = False) -> DataFrame:
