@@ -13,9 +13,11 @@ more and finer ones for large ones; from ``DEEP`` fingerprints on cells are told
 kept bits as well as by their counts, so cells stay small at any size.
 Only cells that hold several distinct fingerprints go on. In these the members are first
 compared with the cell's smallest member, which contracts groups of copies without listing
-their pairs; then only pairs of different components within a cell are compared, so no link
-between components is lost and no cell of one component is expanded. Cells with more than
-``CROWD`` such pairs a member are cut again, by the bits of finer grids.
+their pairs. Where a cell still holds a group of one component and others, rounds follow while
+they find many links: the members are compared with a few other ones of the cell. Then only
+pairs of different components within a cell are compared, so no link between components is
+lost and no cell of one component is expanded. Cells with more than ``CROWD`` such pairs a member are cut again,
+by the bits of finer grids.
 
 Defined results: null and empty texts have fingerprint zero and link like any other;
 a null doc_id is never a component's id unless all of its ids are null; repeated rows are each
@@ -44,6 +46,8 @@ DEEP = 1 << 20
 #: Pairs of different components for each member of a cell, from which the cell is cut again
 #: (into as many pieces for each member).
 CROWD = 70
+#: Members of one component in a cell of several, from which rounds of ``CENTRES`` centres follow.
+GROUP, CENTRES = 8, 4
 _LOW = 0x5555555555555555
 
 
@@ -119,6 +123,23 @@ def _cells(p: DataFrame, masks: list[int], of: Column, *keep: str) -> DataFrame:
     return p.select("fp", *keep, F.explode(F.array(*each)).alias("cell"))
 
 
+def _placed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(cell, fp, root) of the members; roots: (node, root) of those that have links."""
+    m = members.select("cell", "fp")
+    return m.join(roots, m["fp"] == roots["node"], "left").select("cell", "fp", F.coalesce("root", "fp").alias("root"))
+
+
+def _mixed(members: DataFrame, roots: DataFrame, crowd: float) -> DataFrame:
+    """(cell, fp, root, crowded, grouped) in the cells of several components; grouped: one of
+    these has many members there."""
+    placed = _placed(members, roots)
+    of = placed.groupBy("cell", "root").agg(F.count("*").alias("k"))
+    of = of.groupBy("cell").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("own"), F.count("*").alias("roots"), F.max("k").alias("most"))
+    pairs = (F.col("n") * F.col("n") - F.col("own")) / 2  # of different components
+    mixed = of.where("roots > 1").select("cell", (pairs > crowd * F.col("n")).alias("crowded"), (F.col("most") >= GROUP).alias("grouped"))
+    return stored(placed.join(mixed, "cell"), "mixed")
+
+
 def links(prints: DataFrame, fp: str, bits: int = 4, blocks: int | None = None, crowd: int = CROWD) -> DataFrame:
     """(a, b): links that connect what is connected; ``prints`` holds distinct fingerprints."""
     n = prints.count()
@@ -136,11 +157,23 @@ def links(prints: DataFrame, fp: str, bits: int = 4, blocks: int | None = None,
     near = stored(two.union(star).distinct(), "links")
     roots = components(near, "a", "b")
     # What is left: cells whose members are of several components.
-    placed = members.join(roots, members["fp"] == roots["node"], "left").select("cell", "fp", F.coalesce("root", "fp").alias("root"))
-    of = placed.groupBy("cell", "root").agg(F.count("*").alias("k")).groupBy("cell").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("own"), F.count("*").alias("roots"))
-    pairs = (F.col("n") * F.col("n") - F.col("own")) / 2  # of different components
-    mixed = of.where("roots > 1").select("cell", (pairs > crowd * F.col("n")).alias("crowded"))
-    placed = stored(placed.join(mixed, "cell"), "mixed")
+    placed = _mixed(members, roots, crowd)
+    grouped, turns, found, rounds = placed.where("grouped"), np.random.default_rng(SEED), None, 0
+    while found is None or 8 * found > grouped.count():
+        turn = [F.lit(int(t)) for t in turns.integers(-(1 << 63), 1 << 63, CENTRES)]
+        least = [F.min(F.struct(F.col("fp").bitwiseXOR(t).alias("by"), "root")).alias(f"c{i}") for i, t in enumerate(turn)]
+        centres = F.array(*[F.struct(F.col(f"c{i}.by").bitwiseXOR(t).alias("fp"), F.col(f"c{i}.root")) for i, t in enumerate(turn)])
+        of = grouped.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *least).where("lo < hi").select("cell", centres.alias("centres"))
+        other = F.filter("centres", lambda c: (c["root"] != F.col("root")) & (distance(c["fp"], F.col("fp")) <= bits))
+        star = stored(grouped.join(of, "cell").select(F.col("fp").alias("a"), F.explode(other).alias("c")).select("a", F.col("c.fp").alias("b")).distinct(), "links")
+        found = star.count()
+        if found:
+            rounds += 1
+            near = near.union(star)
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(star), "a", "b")
+            grouped = stored(_placed(grouped, roots), "grouped")
+    if rounds:
+        placed = _mixed(placed, roots, crowd)
     # In a crowded cell the grid is laid once more, over bits and not counts.
     crowded = placed.where("crowded")
     again = _cells(crowded, grids(bits, 2 * bits), F.col("fp"), "root")

@@ -645,6 +645,34 @@ def test_links_of_dense_fingerprints(spark, monkeypatch, blocks, crowd, deep):
     assert all(root == min(n if n < 1 << 63 else n - (1 << 64) for n in g) for root, g in groups.items())
 
 
+def test_links_of_a_large_group_of_near_copies(spark):
+    """Rounds of new centres leave few links to the pairs of different components, and lose none."""
+    rng = np.random.default_rng(11)
+    noise = lambda most: sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, most + 1)), replace=False))
+    prints = list(dict.fromkeys(0x0123456789ABCDEF ^ noise(4) for _ in range(1500)))
+    prints += list({0x0F0F0F0F0F0F0F0F ^ noise(9) for _ in range(200)} - set(prints))
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp bigint").cache()
+    want = defaultdict(set)
+    for (key, _, least), _ in brute_components(list(enumerate(prints))).items():
+        want[least].add(key)
+    edges = simhash.links(df, "fp").collect()
+    assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 4 for r in edges)
+    assert len(edges) < 20 * len(prints)  # after one star alone: over 150 * len(prints)
+    parent = {p: p for p in prints}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for r in edges:
+        parent[root(r.a % (1 << 64))] = root(r.b % (1 << 64))
+    groups = defaultdict(set)
+    for i, p in enumerate(prints):
+        groups[root(p)].add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
 def test_components_of_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (5, 4)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()))
