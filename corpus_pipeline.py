@@ -24,8 +24,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles of
-    exact Jaccard likeness 0.8 or more."""
+    """One document of each group of near-duplicates stays: five-word shingles of exact Jaccard
+    likeness 0.8 or more. SimHash and its grid join come first, MinHash finds what they can't."""
     return likeness.keep_one(docs)
 
 

@@ -65,7 +65,12 @@ def simhash(text: bytes, shingle: int = 4) -> int:
         start = stop - size
         digest = xxhash.xxh64_intdigest
         h = [digest(joined[a:b], SEED) for a, b in zip(start[: -shingle + 1 or None].tolist(), stop[shingle - 1 :].tolist())]
-    bits = np.unpackbits(np.array(h, "<u8").view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little")
+    return of_hashes(np.array(h, np.uint64))
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """The fingerprint of shingles by their hashes, repeats included; of none: zero."""
+    bits = np.unpackbits(h.astype("<u8", copy=False).view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little")
     return int.from_bytes(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(h), bitorder="little").tobytes(), "little")
 
 

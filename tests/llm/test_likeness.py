@@ -3,7 +3,9 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
+from tapedeck.llm import likeness, simhash
 from tapedeck.llm.common import table
 
 
@@ -84,3 +86,42 @@ def test_many_variants_of_one_text(spark):
         rows.append((d, " ".join(x)))
     out = corpus_pipeline.copies_out(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in out.collect()) == brute(rows)
+
+
+def test_fingerprints_come_first(spark, monkeypatch):
+    """The grid join's links, decided by the sets, are what the bands start from."""
+    r, called = random.Random(3), []
+    base = [f"w{i}" for i in range(400)]
+    rows = [(d, " ".join([*base[:200], f"v{d}", *base[201:]])) for d in range(40)]  # of one component by few bits
+    rows += [(100 + d, " ".join(r.sample(base, 60))) for d in range(20)]
+    links, by_bands = simhash.links, likeness._merged
+    monkeypatch.setattr(simhash, "links", lambda *a, **k: called.append(links(*a, **k)) or called[-1])
+    monkeypatch.setattr(likeness, "_merged", lambda roots, more: called.append(roots) or by_bands(roots, more))
+    out = corpus_pipeline.copies_out(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(x.doc_id for x in out.collect()) == brute(rows)
+    prints = {simhash._signed(simhash.simhash(t.encode(), 5)) for _, t in rows}
+    assert {x for e in called[0].collect() for x in (e.a, e.b)} <= prints
+    assert called[1].count() >= 10  # nodes in components before any band was read
+
+
+def test_bitmaps_differ_no_more_than_sets():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 40, 3000):
+        x = np.unique(r.integers(0, 1 << 63, n, np.uint64))
+        y = np.unique(np.concatenate((x[n // 5 :], r.integers(0, 1 << 63, n // 7, np.uint64))))
+        assert np.bitwise_count(likeness.marks(x) ^ likeness.marks(y)).sum() <= len(np.setxor1d(x, y))
+
+
+def test_a_large_group_of_variants_is_not_listed_pair_by_pair(spark, monkeypatch):
+    r, listed, across = random.Random(7), [], likeness._across
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for d in range(500):
+        x = list(base)
+        for k in r.sample(range(150), r.choice([2, 4, 6, 8, 12])):
+            x[k] = f"v{r.randrange(400)}"
+        rows.append((d, " ".join(x)))
+    monkeypatch.setattr(likeness, "_across", lambda *a: listed.append(across(*a).cache()) or listed[-1])
+    out = corpus_pipeline.copies_out(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(x.doc_id for x in out.collect()) == brute(rows)
+    assert listed[0].count() < len(rows)
