@@ -673,6 +673,15 @@ def test_links_of_a_large_group_of_near_copies(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_components_on_the_driver_and_by_stars(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-90, 90, (80, 2))] + [(300 + i, 301 + i) for i in range(30)] + [(500, 500)]
+    edges = spark.createDataFrame(pairs, "a bigint, b bigint")
+    few = Counter(map(tuple, components.components(edges, "a", "b").collect()))
+    monkeypatch.setattr(components, "FEW", 0)
+    assert few == Counter(map(tuple, components.components(edges, "a", "b").collect()))
+
+
 def test_components_of_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (5, 4)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()))
