@@ -15,8 +15,9 @@ first depth tell; longer ones follow the few states of two words.
 
 Least counts keep chance out: a transition needs ``least(N)``, about sqrt(N) / 256, a context
 ``CONTEXT`` times that. So the tree grows with the corpus, and the counts that a task sends
-with its input. Words of at least that count are listed in a broadcast (``LISTED`` words at
-most, else the count is raised); counts of all others are joined, row by row of the result.
+with its input. Words of at least that count are listed in a broadcast; more than ``LISTED``
+go in cuts, by their hashes, and each cut is a pass that looks at its own symbols, so the tree
+is the same. Counts of words that aren't listed are joined, row by row of the result.
 The tree is broadcast in parts of at most ``EDGES`` transitions, cut by the last word of the
 contexts, so that all states that matter at a place are in one part: each part is one pass.
 
@@ -184,11 +185,17 @@ class Tree:
     part: int = 0
     parts: int = 1
     levels: list[Level] = field(default_factory=list)
-    often: np.ndarray | None = None  # sorted contexts of two words that may become states
+    often: np.ndarray | None = None  # sorted contexts of one or two words that may become states
+    cut: int = 0
+    cuts: int = 1
 
     def owns(self, key: np.ndarray) -> np.ndarray:
         return (key >> np.uint64(_PART) & np.uint64(0xFFF)) % np.uint64(self.parts) == self.part
 
+    def looks_at(self, symbols: np.ndarray) -> np.ndarray:
+        """Which symbols are this cut's to follow, listed or not."""
+        return (symbols >> np.uint64(_PART)) % np.uint64(self.cuts) == self.cut
+
     def root(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(probability, count, whether listed); what isn't counts as unknown here."""
         at, known = _find(self, "words", symbols)
@@ -199,7 +206,7 @@ class Tree:
         """By depth, from one word on: places whose suffix of one word less is a state (or the
         root), the keys of their contexts, and p there, the probability from that suffix. ``p``
         holds each symbol's probability from its longest suffix state at the end."""
-        at = np.flatnonzero(place >= 1)
+        at = np.flatnonzero((place >= 1) & self.looks_at(s) if self.cuts > 1 else place >= 1)
         key = _extended(None, s[at - 1])
         if self.parts > 1:
             own = self.owns(key)
@@ -255,9 +262,9 @@ def count_words(train: DataFrame, text: str) -> DataFrame:
     return train.select(text).mapInArrow(run, "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _transitions(train: DataFrame, text: str, tree, need: int) -> DataFrame:
+def _transitions(train: DataFrame, text: str, tree) -> DataFrame:
     """(context, symbol, p, c) of the depth after the tree's last: what follows the contexts
-    whose suffix is a state (one word: words of count ``need`` at least)."""
+    whose suffix is a state (of one or two words: those of ``often``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, held, size = tree.value, [], 0
@@ -271,12 +278,12 @@ def _transitions(train: DataFrame, text: str, tree, need: int) -> DataFrame:
         for batch in batches:
             for a, b in chunks(batch.column(0)):
                 s, _, place = sequence(utf8(batch.column(0)[a:b]))
-                p, count, known = t.root(s)
+                p, _, known = t.root(s)
                 for at, key, _ in t.walk(s, place, p):  # the last one counts
                     found = at, key
                 at, key = found
                 if len(t.levels) < 2:
-                    own = _find(t, "often", key)[1] if t.levels else count[at - 1] >= need
+                    own = _find(t, "often", key)[1]
                     at, key = at[own], key[own]
                 held.append((key, np.where(known[at], s[at], REST), p[at].astype(np.float32)))
                 size += len(at)
@@ -330,10 +337,11 @@ def _level(rows: DataFrame, part: int, parts: int) -> Level:
 
 @dataclass
 class Model:
-    """A learnt tree: its listed words, and the stored transitions of each depth."""
+    """A learnt tree: (word, c) of the training rows, how many of these are listed, and the
+    stored transitions of each depth."""
 
-    words: np.ndarray
-    counts: np.ndarray
+    counted: DataFrame
+    listed: int
     total: int
     distinct: int
     least: int
@@ -343,8 +351,30 @@ class Model:
     def parts(self, more: int = 0) -> int:
         return max(1, math.ceil((sum(self.sizes) + more) / EDGES))
 
-    def part(self, k: int, parts: int) -> Tree:
-        return Tree(self.words, self.counts, self.total, self.distinct, k, parts, [_level(x, k, parts) for x in self.levels])
+    def cuts(self) -> int:
+        return max(1, math.ceil(self.listed / LISTED))
+
+    def part(self, k: int, parts: int, cut: int = 0, cuts: int = 1) -> Tree:
+        if self.__dict__.get("_cut", (None,))[0] != (cut, cuts):  # the last cut's words are kept
+            own = self.counted.where(F.col("c") >= self.least)
+            own = own.where(F.shiftrightunsigned("word", _PART) % cuts == cut) if cuts > 1 else own
+            self._cut = (cut, cuts), _listing(own)
+        return Tree(*self._cut[1], self.total, self.distinct, k, parts, [_level(x, k, parts) for x in self.levels], cut=cut, cuts=cuts)
+
+    def roots(self) -> tuple[Tree, int]:
+        """No transitions, but the most frequent words, and the least count of these."""
+        need = self.least
+        while self.counted.where(F.col("c") >= need).count() > LISTED:
+            need *= 2
+        return Tree(*_listing(self.counted.where(F.col("c") >= need)), self.total, self.distinct), need
+
+
+def _listing(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted words and their counts."""
+    t = rows.select("word", "c").toArrow()
+    words, c = t.column("word").to_numpy().view(np.uint64), t.column("c").to_numpy()
+    order = np.argsort(words)
+    return words[order], c[order]
 
 
 def learn(train: DataFrame, counts: DataFrame, text: str, *, context: int = CONTEXT, edge: int | None = None) -> Model:
@@ -352,22 +382,22 @@ def learn(train: DataFrame, counts: DataFrame, text: str, *, context: int = CONT
     spark = train.sparkSession
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     need = edge or least(total)
-    while counts.where(F.col("c") >= need).count() > LISTED:
-        need *= 2
-    listed = counts.where(F.col("c") >= need).toArrow()
-    words, c = listed.column("word").to_numpy().view(np.uint64), listed.column("c").to_numpy()
-    order = np.argsort(words)
-    model = Model(words[order], c[order], total, distinct, need, [], [])
-    frequent, more = None, 0
+    listed = counts.where(F.col("c") >= need).count()
+    model = Model(counts, listed, total, distinct, need, [], [])
+    # Words of context * need: 16 times the root of the corpus at most.
+    first = np.sort(_extended(None, _listing(counts.where(F.col("c") >= context * need))[0]))
+    frequent, more, cuts = None, 0, model.cuts()
     while total:
         parts = model.parts(more)
         counted = None
-        for k in range(parts):
-            part = model.part(k, parts)
+        for cut, k in [(j, k) for j in range(cuts) for k in range(parts)]:
+            part = model.part(k, parts, cut, cuts)
+            if not model.levels:
+                part.often = first
             if len(model.levels) == 1:
                 part.often = _often(frequent, spark.sparkContext.broadcast(part))
             tree = spark.sparkContext.broadcast(part)
-            one = stored(_transitions(train, text, tree, context * need), "transitions")
+            one = stored(_transitions(train, text, tree), "transitions")
             counted = one if counted is None else counted.unionByName(one)
         level = states(counted, total, need, context * need)
         n = level.count()
@@ -429,20 +459,25 @@ def score(docs: DataFrame, train: DataFrame, *, text: str = "text", **options) -
     spark = docs.sparkSession
     counts = stored(count_words(train, text), "words")
     model = learn(train, counts, text, **options)
-    parts = model.parts()
+    parts, cuts = model.parts(), model.cuts()
+    passes = [(j, k) for j in range(cuts) for k in range(parts)]
+    if cuts == 1:
+        begin, listed, passes = model.part(0, parts), model.least, passes[1:]
+    else:
+        begin, listed = model.roots()
     names = ("n_tokens", "n_known", "base_score", "score")
     row, p, key, extra, log_rare, known_rare = fresh(docs, "row", "partial", "digest", "extra", "log_rare", "known_rare")
     kept = [c for c in docs.columns if c != text and c not in names]
-    digest = F.md5(text_of(text).cast("binary")) if parts > 1 else F.lit("")
-    tree = spark.sparkContext.broadcast(model.part(0, parts))
+    digest = F.md5(text_of(text).cast("binary")) if passes else F.lit("")
+    tree = spark.sparkContext.broadcast(begin)
     done = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(key, digest).withColumn(p, _scores(tree)(F.col(text)))
     done = stored(done.select(*kept, row, key, p), "partials")
     # A word that is not in the training rows adds log10(0 + 1) = 0: an inner join is enough.
     rare = done.select(row, F.explode(f"{p}.rare").alias("r")).select(row, F.col("r.word").alias("word"), F.col("r.n").alias("n"))
-    of = rare.join(counts.where(F.col("c") < model.least), "word").groupBy(row).agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias(log_rare), F.sum("n").alias(known_rare))
+    of = rare.join(counts.where(F.col("c") < listed), "word").groupBy(row).agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias(log_rare), F.sum("n").alias(known_rare))
     out = done.join(of, row, "left").withColumn(log_rare, F.coalesce(log_rare, F.lit(0.0))).withColumn(extra, F.lit(0.0))
-    for k in range(1, parts):  # a part's gain is one of the text alone
-        tree = spark.sparkContext.broadcast(model.part(k, parts))
+    for j, k in passes:  # a part's gain is one of the text alone
+        tree = spark.sparkContext.broadcast(model.part(k, parts, j, cuts))
         gain = docs.select(digest.alias(key), _gains(tree)(F.col(text)).alias("gain")).groupBy(key).agg(F.first("gain").alias("gain"))
         out = out.join(stored(gain, "gains"), key).withColumn(extra, F.col(extra) + F.col("gain")).drop("gain")
     return out.select(

@@ -554,6 +554,16 @@ def test_scores_equal_brute_force(stories, monkeypatch, edges):
     assert sorted((r.doc_id or -1, round(r.score, 4)) for r in got) == want
 
 
+@pytest.mark.parametrize("edges", [10**6, 40])
+def test_listing_in_cuts_changes_no_score(stories, monkeypatch, edges):
+    of = lambda: sorted((r.doc_id or -1, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in suffix_tree.report(stories, context=3, edge=2).collect())
+    whole = of()
+    counts = suffix_tree.count_words(stories, "text")
+    monkeypatch.setattr(suffix_tree, "LISTED", math.ceil(counts.where("c >= 2").count() / 2))
+    monkeypatch.setattr(suffix_tree, "EDGES", edges)
+    assert of() == whole
+
+
 def test_a_state_is_a_distribution(stories):
     counts = suffix_tree.count_words(stories, "text").cache()
     model = suffix_tree.learn(stories, counts, "text", context=3, edge=1)
