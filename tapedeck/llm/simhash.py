@@ -9,8 +9,9 @@ Grid: the segments form blocks. Four differing bits touch at most four blocks, s
 fingerprints have equal counts, and equal bits, in all segments of all other blocks. Each
 choice of blocks to keep gives one grid; a fingerprint lies in one cell of each. The number of
 blocks is chosen from the number of distinct fingerprints: few, coarse grids for small tables,
-more and finer ones for large ones; from ``DEEP`` fingerprints on cells are told apart by the
-kept bits as well as by their counts, so cells stay small at any size.
+more and finer ones for large ones. A cell of counts is cut by the kept bits, which linked
+fingerprints share as well, so few meet in it by chance. The bits fix the counts, so they alone
+are hashed.
 Only cells that hold several distinct fingerprints go on. In these the members are first
 compared with the cell's smallest member, which contracts groups of copies without listing
 their pairs. Where a cell still holds a group of one component and others, rounds follow while
@@ -41,7 +42,7 @@ from .common import chunks, stored, utf8, without
 from .components import components
 
 SEED = 42
-#: Distinct fingerprints from which cells are told apart by bits beside counts.
+#: Distinct fingerprints from which a kept bit is taken to tell as much apart as a random one.
 DEEP = 1 << 20
 #: Pairs of different components for each member of a cell, from which the cell is cut again
 #: (into as many pieces for each member).
@@ -112,7 +113,7 @@ def grids(bits: int = 4, blocks: int = 8, within: int = -1) -> list[int]:
 
 def blocks_for(n: int, bits: int = 4) -> int:
     """The blocks with the least work for n fingerprints: cells to deal out and pairs by chance."""
-    kept = 1.0 if n >= DEEP else 0.7  # bits of entropy that a kept bit (or its count) has
+    kept = 1.0 if n >= DEEP else 0.7  # bits of entropy that a kept bit has
 
     def work(blocks: int) -> float:
         return math.comb(blocks, bits) * (n + n * n / 2 ** (64 * kept * (blocks - bits) / blocks) / 16)
@@ -120,11 +121,11 @@ def blocks_for(n: int, bits: int = 4) -> int:
     return min(range(bits + 1, 2 * bits + 5), key=work)
 
 
-def _cells(p: DataFrame, masks: list[int], of: Column, *keep: str) -> DataFrame:
+def _cells(p: DataFrame, masks: list[int], *keep: str) -> DataFrame:
     """(cell, fp, keep...) for each mask; a cell is a hash (of equal hashes, two cells are one
     larger one), and inside the cell that a row may be in already."""
     within = [F.col("cell")] if "cell" in p.columns else []
-    each = [F.xxhash64(F.lit(i), *within, of.bitwiseAND(F.lit(m))) for i, m in enumerate(masks)]
+    each = [F.xxhash64(F.lit(i), *within, F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)]
     return p.select("fp", *keep, F.explode(F.array(*each)).alias("cell"))
 
 
@@ -151,7 +152,7 @@ def links(prints: DataFrame, fp: str, bits: int = 4, blocks: int | None = None,
     masks = grids(bits, blocks or blocks_for(n, bits))
     spread = max(prints.sparkSession.sparkContext.defaultParallelism, math.ceil(n * len(masks) / 2_000_000))
     p = prints.select(F.col(fp).alias("fp")).repartition(spread, "fp")
-    cells = stored(_cells(p, masks, F.col("fp") if n >= DEEP else embedding(F.col("fp"))), "cells")
+    cells = stored(_cells(p, masks), "cells")
     shared = cells.groupBy("cell").agg(F.min("fp").alias("first"), F.max("fp").alias("last"), F.count("*").alias("n")).where("n > 1")
     shared = stored(shared, "shared")
     close = lambda a, b: distance(embedding(F.col(a)), embedding(F.col(b))) <= bits
@@ -179,9 +180,9 @@ def links(prints: DataFrame, fp: str, bits: int = 4, blocks: int | None = None,
             grouped = stored(_placed(grouped, roots), "grouped")
     if rounds:
         placed = _mixed(placed, roots, crowd)
-    # In a crowded cell the grid is laid once more, over bits and not counts.
+    # In a crowded cell the grid is laid once more, finer.
     crowded = placed.where("crowded")
-    again = _cells(crowded, grids(bits, 2 * bits), F.col("fp"), "root")
+    again = _cells(crowded, grids(bits, 2 * bits), "root")
     some = again.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell")
     placed = stored(placed.where("not crowded").select("cell", "fp", "root").unionByName(again.join(some, "cell")), "pieces")
     x = placed.select("cell", F.col("fp").alias("a"), F.col("root").alias("ra"))

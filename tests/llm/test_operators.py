@@ -683,6 +683,18 @@ def test_links_of_a_large_group_of_near_copies(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_unlike_fingerprints_seldom_meet_in_a_cell(spark, monkeypatch):
+    """Rows by chance: cells of counts alone let each of the larger tables' fingerprints meet others in most cells."""
+    met, placed = [], simhash._placed
+    monkeypatch.setattr(simhash, "_placed", lambda members, roots: met.append(members.count()) or placed(members, roots))
+    rng = np.random.default_rng(8)
+    prints = [int(x) for x in np.unique(rng.integers(-(1 << 63), 1 << 63, 20_000))]
+    near = [p ^ 0b1111 for p in prints[:50]]
+    edges = simhash.links(spark.createDataFrame([(p,) for p in prints + near], "fp bigint"), "fp").collect()
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in edges} == {(min(p, q), max(p, q)) for p, q in zip(prints, near)}
+    assert max(met) < len(prints) / 10
+
+
 def test_components_on_the_driver_and_by_stars(spark, monkeypatch):
     rng = np.random.default_rng(2)
     pairs = [(int(a), int(b)) for a, b in rng.integers(-90, 90, (80, 2))] + [(300 + i, 301 + i) for i in range(30)] + [(500, 500)]
