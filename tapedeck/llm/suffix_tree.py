@@ -11,7 +11,9 @@ goes to the suffix state, down to the root. A text is scored from the longest su
 each word.
 
 Contexts of two words are counted only if they occur often enough, which the counts of the
-first depth tell; longer ones follow the few states of two words.
+first depth tell; longer ones follow the few states of two words, and are counted only if the
+two words that they begin with occur often enough (all, where these pairs are more than
+``EDGES``).
 
 Least counts keep chance out: a transition needs ``least(N)``, about sqrt(N) / 256, a context
 ``CONTEXT`` times that. So the tree grows with the corpus, and the counts that a task sends
@@ -32,10 +34,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -52,6 +54,10 @@ PARTIAL = 1_000_000
 PIECE = 1 << 18
 END, REST = np.uint64(1), np.uint64(2)  # the end of a text; a symbol that is not listed
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
+#: The first n of eight bytes.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Most bytes of a word that is hashed beside others.
+LONG = 64
 _BASE = 0x9E3779B97F4A7C15
 _PART = 52  # the top 12 bits of a context's key are those of its last word
 
@@ -61,55 +67,55 @@ def least(total: int) -> int:
     return max(2, math.ceil(math.sqrt(total) / 256))
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.full(n + 1, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
     return x ^ (x >> np.uint64(33))
 
 
+def _hashed(data: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of words (none empty) by eight bytes at once; eight more bytes end ``data``."""
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=1)
+    h = mix((eight[start] & _FIRST[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(_BASE))
+    at, done = np.flatnonzero(size > 8), 8
+    while len(at) and done < LONG:
+        x = eight[start[at] + done] & _FIRST[np.minimum(size[at] - done, 8)]
+        h[at] = mix(h[at] * np.uint64(0x9FB21C651E98DF25) + x)
+        done += 8
+        at = at[size[at] > done]
+    for i in at.tolist():
+        h[i] = xxhash.xxh64_intdigest(data[start[i] : start[i] + size[i]])
+    h[h < 4] += np.uint64(4)
+    return h
+
+
 def _words(data: bytes, at: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of the words of a stretch that begins and ends between words."""
     a = np.frombuffer(memoryview(data)[at:stop], np.uint8)
     inside = np.concatenate(([False], a != 32, [False]))
     edge = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return start, start.astype(np.uint64)
-    up, down = _powers(max(2 * PIECE, 1 << (len(a) - 1).bit_length()))
-    total = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], out=total[1:])
-    h = mix((total[end] - total[start]) * down[start])
-    return start + at, np.where(h < 4, h + np.uint64(4), h)
+    start = edge[::2] + at
+    return start, _hashed(data, start, edge[1::2] - edge[::2])
 
 
 def sequence(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each symbol (the words of each text, then an end): its hash, text, and place there."""
-    data = b" ".join(texts).translate(_FOLD)
-    starts, hashes, at = [], [], 0
-    while at < len(data):
-        cut = data.find(b" ", at + PIECE) if len(data) - at > PIECE else -1
-        cut = len(data) if cut < 0 else cut
+    data = b" ".join([*texts, bytes(8)]).translate(_FOLD)
+    starts, hashes, at, stop = [], [], 0, len(data) - 9
+    while at < stop:
+        cut = data.find(b" ", at + PIECE) if stop - at > PIECE else -1
+        cut = stop if cut < 0 else cut
         s, h = _words(data, at, cut)
         starts.append(s)
         hashes.append(h)
         at = max(cut, at + 1)
     start = np.concatenate(starts or [np.empty(0, np.int64)])
     size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    doc = np.searchsorted(np.cumsum(size), start, side="right")
-    n = np.bincount(doc, minlength=len(texts)) + 1  # with the end
+    n = np.diff(np.searchsorted(start, np.cumsum(size)), prepend=0) + 1  # with the end
     last = np.cumsum(n) - 1
-    out = np.full(int(n.sum()), END, np.uint64)
-    out[np.arange(len(start)) + doc] = np.concatenate(hashes or [np.empty(0, np.uint64)])
+    out, word = np.full(int(n.sum()), END, np.uint64), np.ones(int(n.sum()), bool)
+    word[last] = False
+    out[word] = np.concatenate(hashes or [np.empty(0, np.uint64)])
     return out, np.repeat(np.arange(len(texts)), n), np.arange(len(out)) - np.repeat(last + 1 - n, n)
 
 
@@ -173,6 +179,11 @@ class Level:
     edges: np.ndarray
     shares: np.ndarray
 
+    def after(self, key: np.ndarray, where: np.ndarray, symbols: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """The probabilities of symbols after states (their keys and places); p: those from the suffix states."""
+        e, there = _find(self, "edges", _edge(key, symbols))
+        return np.where(there, self.shares[e] if len(self.shares) else 0.0, 0.0) + self.left[where] * p
+
 
 @dataclass
 class Tree:
@@ -186,6 +197,7 @@ class Tree:
     parts: int = 1
     levels: list[Level] = field(default_factory=list)
     often: np.ndarray | None = None  # sorted contexts of one or two words that may become states
+    pairs: np.ndarray | None = None  # sorted contexts of the two words that longer ones may begin with
     cut: int = 0
     cuts: int = 1
 
@@ -202,41 +214,64 @@ class Tree:
         c = np.where(known, self.counts[at] if len(self.counts) else 0, 0)
         return (c + 1) / (self.total + self.distinct + 1), c, known
 
-    def walk(self, s: np.ndarray, place: np.ndarray, p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """By depth, from one word on: places whose suffix of one word less is a state (or the
-        root), the keys of their contexts, and p there, the probability from that suffix. ``p``
-        holds each symbol's probability from its longest suffix state at the end."""
+    def _begin(self, s: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places that this part and cut look at, and the keys of their contexts of one word."""
         at = np.flatnonzero((place >= 1) & self.looks_at(s) if self.cuts > 1 else place >= 1)
         key = _extended(None, s[at - 1])
         if self.parts > 1:
             own = self.owns(key)
             at, key = at[own], key[own]
-        for depth in range(1, len(self.levels) + 2):
-            yield at, key, p
-            if depth > len(self.levels):
-                return
-            level = self.levels[depth - 1]
+        return at, key
+
+    def walk(self, s: np.ndarray, place: np.ndarray, p: np.ndarray) -> None:
+        """``p``, each symbol's probability from the root, becomes that from its longest suffix state."""
+        at, key = self._begin(s, place)
+        for depth, level in enumerate(self.levels, 1):
             where, state = _find(level, "contexts", key)
             at, key, where = at[state], key[state], where[state]
-            e, there = _find(level, "edges", _edge(key, s[at]))
-            share = np.where(there, level.shares[e] if len(level.shares) else 0.0, 0.0)
-            p[at] = share + level.left[where] * p[at]
-            more = place[at] >= depth + 1
+            p[at] = level.after(key, where, s[at], p[at])
+            more = place[at] > depth
             at, key = at[more], key[more]
             key = _extended(key, s[at - depth - 1])
 
+    def reach(self, s: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places with a context one word longer than the deepest states, whose suffix is one of
+        these and that may become a state itself; the keys of these contexts."""
+        at, key = self._begin(s, place)
+        for depth, level in enumerate(self.levels, 1):
+            state = _find(level, "contexts", key)[1] & (place[at] > depth)
+            at, key = at[state], key[state]
+            key = _extended(key, s[at - depth - 1])
+        if len(self.levels) < 2:
+            own = _find(self, "often", key)[1]
+            return at[own], key[own]
+        if self.pairs is not None:
+            first = at - len(self.levels) - 1
+            own = _find(self, "pairs", _extended(_extended(None, s[first + 1]), s[first]))[1]
+            at, key = at[own], key[own]
+        return at, key
+
+    def reached(self, s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For such places: (probability from the deepest state, whether the symbol is listed)."""
+        p, _, known = self.root(s[at])
+        key = None
+        for depth, level in enumerate(self.levels, 1):
+            key = _extended(key, s[at - depth])
+            p = level.after(key, _find(level, "contexts", key)[0], s[at], p)
+        return p, known
+
     def probabilities(self, s: np.ndarray, place: np.ndarray) -> np.ndarray:
         p = self.root(s)[0]
-        for _ in self.walk(s, place, p):
-            pass
+        self.walk(s, place, p)
         return p
 
 
 def _summed(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct rows of parallel arrays by the first: (places, sums of the second)."""
     key, n = keys
-    order = np.argsort(key, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1]))) if len(key) else np.empty(0, np.int64)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
     return order[first], np.add.reduceat(n[order], first) if len(first) else n[:0]
 
 
@@ -250,8 +285,8 @@ def count_words(train: DataFrame, text: str) -> DataFrame:
         held = (np.empty(0, np.uint64), np.empty(0, np.int64))
         for batch in batches:
             for a, b in chunks(batch.column(0)):
-                s = sequence(utf8(batch.column(0)[a:b]))[0]
-                both = np.concatenate((held[0], s)), np.concatenate((held[1], np.ones(len(s), np.int64)))
+                new = np.unique(sequence(utf8(batch.column(0)[a:b]))[0], return_counts=True)
+                both = np.concatenate((held[0], new[0])), np.concatenate((held[1], new[1]))
                 at, n = _summed(both)
                 held = (both[0][at], n)
                 if len(at) > PARTIAL:
@@ -264,7 +299,8 @@ def count_words(train: DataFrame, text: str) -> DataFrame:
 
 def _transitions(train: DataFrame, text: str, tree) -> DataFrame:
     """(context, symbol, p, c) of the depth after the tree's last: what follows the contexts
-    whose suffix is a state (of one or two words: those of ``often``)."""
+    whose suffix is a state (of one or two words: those of ``often``; of more: those that
+    begin with one of ``pairs``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, held, size = tree.value, [], 0
@@ -278,14 +314,9 @@ def _transitions(train: DataFrame, text: str, tree) -> DataFrame:
         for batch in batches:
             for a, b in chunks(batch.column(0)):
                 s, _, place = sequence(utf8(batch.column(0)[a:b]))
-                p, _, known = t.root(s)
-                for at, key, _ in t.walk(s, place, p):  # the last one counts
-                    found = at, key
-                at, key = found
-                if len(t.levels) < 2:
-                    own = _find(t, "often", key)[1]
-                    at, key = at[own], key[own]
-                held.append((key, np.where(known[at], s[at], REST), p[at].astype(np.float32)))
+                at, key = t.reach(s, place)
+                p, known = t.reached(s, at)
+                held.append((key, np.where(known, s[at], REST), p.astype(np.float32)))
                 size += len(at)
                 if size > PARTIAL:
                     yield out()
@@ -296,15 +327,15 @@ def _transitions(train: DataFrame, text: str, tree) -> DataFrame:
 
 
 def _often(frequent: DataFrame, tree) -> np.ndarray:
-    """Of the frequent transitions of the first depth (a word, the next one), as contexts of two
-    words: those whose last word is a state of the tree's part. Sorted."""
+    """The frequent transitions of the first depth (a word, the next one) as contexts of two
+    words; of a tree with states: those whose last word is a state of the tree's part. Sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tree.value
         for batch in batches:
             first, second = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
             key = _extended(None, second)
-            own = _find(t.levels[0], "contexts", key)[1]
+            own = _find(t.levels[0], "contexts", key)[1] if t.levels else slice(None)
             yield pa.RecordBatch.from_arrays([pa.array(_joined(key[own], first[own]).view(np.int64))], ["key"])
 
     return np.sort(frequent.select("context", "symbol").mapInArrow(run, "key bigint").toArrow().column(0).to_numpy().view(np.uint64))
@@ -386,7 +417,7 @@ def learn(train: DataFrame, counts: DataFrame, text: str, *, context: int = CONT
     model = Model(counts, listed, total, distinct, need, [], [])
     # Words of context * need: 16 times the root of the corpus at most.
     first = np.sort(_extended(None, _listing(counts.where(F.col("c") >= context * need))[0]))
-    frequent, more, cuts = None, 0, model.cuts()
+    frequent, pairs, more, cuts = None, None, 0, model.cuts()
     while total:
         parts = model.parts(more)
         counted = None
@@ -394,6 +425,7 @@ def learn(train: DataFrame, counts: DataFrame, text: str, *, context: int = CONT
             part = model.part(k, parts, cut, cuts)
             if not model.levels:
                 part.often = first
+            part.pairs = pairs
             if len(model.levels) == 1:
                 part.often = _often(frequent, spark.sparkContext.broadcast(part))
             tree = spark.sparkContext.broadcast(part)
@@ -405,8 +437,13 @@ def learn(train: DataFrame, counts: DataFrame, text: str, *, context: int = CONT
             break
         model.levels.append(level)
         model.sizes.append(n)
-        frequent = counted.where((F.col("c") >= context * need) & (F.col("symbol") != int(REST))) if len(model.levels) == 1 else None
-        more = frequent.count() if frequent is not None else 0
+        if len(model.levels) == 1:
+            frequent = counted.where((F.col("c") >= context * need) & (F.col("symbol") != int(REST)))
+            more = frequent.count()
+        elif len(model.levels) == 2:  # a context occurs no more often than the two words that it begins with
+            if more <= EDGES:
+                pairs = _often(frequent, spark.sparkContext.broadcast(Tree(first[:0], first[:0], total, distinct)))
+            more = 0
     return model
 
 
@@ -425,8 +462,7 @@ def _scores(shared):
             p, c, known = t.root(s)
             n = np.bincount(doc, minlength=b - a)
             base = np.bincount(doc, np.log10(c + 1), b - a) - n * math.log10(t.total + t.distinct + 1)
-            for _ in t.walk(s, place, p):
-                pass
+            t.walk(s, place, p)
             score = np.bincount(doc, np.log10(p), b - a)
             other = np.flatnonzero(~known)
             order = other[np.lexsort((s[other], doc[other]))]

@@ -564,6 +564,32 @@ def test_listing_in_cuts_changes_no_score(stories, monkeypatch, edges):
     assert of() == whole
 
 
+def test_only_contexts_that_begin_with_frequent_pairs_are_counted(stories, monkeypatch):
+    """A context of three or more words occurs no more often than its first two."""
+    seen, transitions = [], suffix_tree._transitions
+    monkeypatch.setattr(suffix_tree, "_transitions", lambda *a: seen.append(transitions(*a).cache()) or seen[-1])
+    counts = suffix_tree.count_words(stories, "text")
+    suffix_tree.learn(stories, counts.cache(), "text", context=3, edge=2)
+    texts = [suffix_tree.sequence([(r.text or "").encode()])[0][:-1] for r in stories.collect()]
+    pairs = Counter(p for s in texts for p in zip(s[:-1].tolist(), s[1:].tolist()))
+    allowed = set()
+    for s in texts:
+        key, at = suffix_tree._extended(None, s[2:]), np.arange(2, len(s))
+        key = suffix_tree._extended(suffix_tree._extended(key, s[1:-1][: len(key)]), s[:-2][: len(key)])
+        allowed |= {k for k, i in zip(key.view(np.int64).tolist(), at.tolist()) if pairs[int(s[i - 2]), int(s[i - 1])] >= 6}
+    got = {r.context for r in seen[2].collect()}
+    assert got and got <= allowed
+
+
+def test_hashes_tell_words_apart():
+    r = random.Random(6)
+    sizes = [1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 72, 300]
+    texts = [b" ".join(b"".join(r.choice([b"\0", b"a", b"A", b"b", "é".encode()]) for _ in range(r.choice(sizes))) for _ in range(r.randrange(40))) for _ in range(300)]
+    want = [w for t in texts for w in [*re.findall(rb"[^\x20\x09-\x0D]+", t.lower()), None]]
+    found = dict(zip(want, suffix_tree.sequence(texts)[0].tolist()))
+    assert [found[w] for w in want] == suffix_tree.sequence(texts)[0].tolist() and len(set(found.values())) == len(found)
+
+
 def test_a_state_is_a_distribution(stories):
     counts = suffix_tree.count_words(stories, "text").cache()
     model = suffix_tree.learn(stories, counts, "text", context=3, edge=1)
