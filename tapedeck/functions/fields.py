@@ -5,6 +5,10 @@ Numbers of up to 18 digits are read as one whole number (``try_cast`` is null fo
 are no digits), and the value, its text and the test for faults all refer to that number, so
 it is worked out once. ``good`` tells from the value alone that a field has no fault: the
 codes are looked for only in records where some field is not good.
+
+What lies in arrays is read and written inside lambdas, which Spark interprets: there nothing is
+worked out once for all its uses, and calls to Java cost most. Plain numbers have short forms
+for it.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DataType, DecimalType, IntegerType, LongType, ShortType
 
 from ..plans.layout import Field
 from . import codepages, edited
@@ -150,7 +155,16 @@ def _zoned_value(f: Field, raw: Column, ebcdic: bool) -> Column:
     return _number(digits, last.between("K", "T"), whole, f.digits, f.scale)
 
 
-def _zoned(f: Field, raw: Column, o: Options) -> Decoded:
+def _zoned_element(f: Field, raw: Column) -> Column:
+    """``_zoned_value`` of an EBCDIC number in an array: from its hexadecimal digits."""
+    h = F.hex(raw)
+    if not f.signed:
+        return _number(F.replace(h, F.lit("F"), F.lit("")), F.lit(False), h.rlike(f"^(F[0-9]){{{f.digits}}}$"), f.digits, f.scale)
+    whole = h.rlike(f"^(F[0-9]){{{f.digits - 1}}}[CDF][0-9]$")
+    return _number(F.translate(h, "CDF", ""), F.substring(h, 2 * f.digits - 1, 1) == "D", whole, f.digits, f.scale)
+
+
+def _zoned(f: Field, raw: Column, o: Options, inside: bool = False) -> Decoded:
     if f.sign:
         return _separate(f, raw, o)
     page_ebcdic = o.codepage != "ascii"
@@ -160,7 +174,7 @@ def _zoned(f: Field, raw: Column, o: Options) -> Decoded:
         signed_anyway = F.lit(False) if f.signed else F.hex(raw).rlike("^(..)*([^3F].)$")
         error = F.when(found == "mixed", F.lit("CBKD414")).when(value.isNull() & signed_anyway, F.lit("CBKD413")).when(value.isNull(), F.lit("CBKD411"))
     else:
-        value = _zoned_value(f, raw, page_ebcdic)
+        value = _zoned_element(f, raw) if inside and page_ebcdic else _zoned_value(f, raw, page_ebcdic)
         error = F.when(value.isNull(), F.lit("CBKD411"))
     good = value.isNotNull()
     blank = raw == F.lit((b"\x40" if page_ebcdic else b" ") * f.size)
@@ -183,10 +197,14 @@ def _separate(f: Field, raw: Column, o: Options) -> Decoded:
     return Decoded(value, _padded(value, f), F.when(value.isNull(), F.lit("CBKD411")), value.isNotNull())
 
 
-def _packed(f: Field, raw: Column, o: Options) -> Decoded:
+def _packed(f: Field, raw: Column, o: Options, inside: bool = False) -> Decoded:
     h = F.hex(raw)
     n = 2 * f.size - 1
     sign = F.substring(h, n + 1, 1)
+    if inside and f.signed and f.digits == n <= LONG:
+        whole = F.substring(h, 1, n).try_cast("bigint")
+        value = _scaled(F.when(sign.isin("A", "C", "E", "F"), whole).when(sign.isin("B", "D"), -whole), n, f.scale)
+        return Decoded(value, _plain(value), F.when(value.isNull(), F.lit("CBKD401")), value.isNotNull())
     negative = sign.isin("B", "D") if f.signed else F.lit(False)
     valid = sign.isin("A", "B", "C", "D", "E", "F") if f.signed else sign == "F"
     if f.digits < n:  # the spare digit must be zero
@@ -257,10 +275,11 @@ def _edited(f: Field, raw: Column, o: Options) -> Decoded:
 _DECODERS = {"text": _text, "zoned": _zoned, "packed": _packed, "binary": _binary, "float": _float, "double": _float, "edited": _edited, "alias": _text}
 
 
-def decode(f: Field, payload: Column, offset, o: Options) -> Decoded:
-    """One element of ``f`` at ``offset``. A record that ends before it: CBKD301."""
+def decode(f: Field, payload: Column, offset, o: Options, inside: bool = False) -> Decoded:
+    """One element of ``f`` at ``offset``. A record that ends before it: CBKD301. ``inside``: an
+    array, or what a lambda's array is made of."""
     raw = slice_of(payload, offset, f.size)
-    d = _DECODERS[f.kind](f, raw, o)
+    d = _DECODERS[f.kind](f, raw, o, inside) if f.kind in ("zoned", "packed") else _DECODERS[f.kind](f, raw, o)
     end = (F.lit(offset) if isinstance(offset, int) else offset) + f.size
     short = F.length(payload) < end
     error = F.when(short, F.lit("CBKD301")).otherwise(d.error)
@@ -353,25 +372,36 @@ def _encode_zoned(f: Field, value: Column, o: Options, said: Column | None = Non
 
 def _encode_zones(f: Field, value: Column, ebcdic: bool) -> Encoded:
     digits, negative, error = _fits(value, f)
+    data = _zone_bytes(f, digits, negative, ebcdic)
+    if f.blank_zero:
+        blank = b"\x40" if ebcdic else b" "
+        data = F.when(value.cast("decimal(38,18)") == 0, F.lit(blank * f.size)).otherwise(data)
+    return Encoded(data, error)
+
+
+def _zone_bytes(f: Field, digits: Column, negative: Column, ebcdic: bool) -> Column:
+    """All digits of a number as zoned bytes."""
+    if not f.signed:
+        return F.encode(F.translate(digits, _DIGITS, _latin(0xF)) if ebcdic else digits, "ISO-8859-1")
     head, last = F.substring(digits, 1, f.digits - 1), F.substring(digits, f.digits, 1)
-    blank = b"\x40" if ebcdic else b" "
     if ebcdic:
         last_of = lambda zone: F.translate(last, _DIGITS, _latin(zone))
         plus = F.when(F.ltrim(digits, F.lit("0")) == "", last_of(0xF)).otherwise(last_of(0xC))  # zero has the plain zone
         head = F.translate(head, _DIGITS, _latin(0xF))
-        end = F.when(negative, last_of(0xD)).otherwise(plus) if f.signed else last_of(0xF)
+        end = F.when(negative, last_of(0xD)).otherwise(plus)
     else:
-        end = F.when(negative, F.translate(last, _DIGITS, _MINUS)).otherwise(F.translate(last, _DIGITS, _PLUS)) if f.signed else last
-    data = F.encode(F.concat(head, end), "ISO-8859-1")
-    if f.blank_zero:
-        data = F.when(value.cast("decimal(38,18)") == 0, F.lit(blank * f.size)).otherwise(data)
-    return Encoded(data, error)
+        end = F.when(negative, F.translate(last, _DIGITS, _MINUS)).otherwise(F.translate(last, _DIGITS, _PLUS))
+    return F.encode(F.concat(head, end), "ISO-8859-1")
 
 
 def _encode_packed(f: Field, value: Column, o: Options) -> Encoded:
     digits, negative, error = _fits(value, f)
+    return Encoded(_packed_bytes(f, digits, negative), error)
+
+
+def _packed_bytes(f: Field, digits: Column, negative: Column) -> Column:
     sign = F.when(negative, F.lit("D")).otherwise(F.lit("C")) if f.signed else F.lit("F")
-    return Encoded(F.unhex(F.concat(F.lpad(digits, 2 * f.size - 1, "0"), sign)), error)
+    return F.unhex(F.concat(F.lpad(digits, 2 * f.size - 1, "0"), sign))
 
 
 def _encode_binary(f: Field, value: Column, o: Options) -> Encoded:
@@ -431,6 +461,41 @@ def _encode_edited(f: Field, value: Column, o: Options) -> Encoded:
 _ENCODERS = {"text": _encode_text, "zoned": _encode_zoned, "packed": _encode_packed, "binary": _encode_binary, "float": _encode_float, "double": _encode_float, "edited": _encode_edited}
 
 
+def _plain_number(f: Field, value: Column, o: Options, kind: DataType | None) -> tuple[Column, Column] | None:
+    """(whether it holds, bytes) of a zoned or packed number whose type needs no rounding: its own
+    text gives the digits. Null, what doesn't fit and all else are left to ``encode``."""
+    if f.kind not in ("zoned", "packed") or f.sign or f.blank_zero:
+        return None
+    if isinstance(kind, DecimalType):
+        before, after = kind.precision - kind.scale, kind.scale
+        text = F.replace(F.abs(value).cast("string"), F.lit("."), F.lit("")) if after else F.abs(value).cast("string")
+    elif isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
+        before, after = {ByteType: 3, ShortType: 5, IntegerType: 10, LongType: 19}[type(kind)], 0
+        text = F.replace(value.cast("string"), F.lit("-"), F.lit(""))
+    else:
+        return None
+    room = f.digits - f.scale
+    if room < 1 or not after <= min(f.scale, 6):  # with more places a text may have an exponent
+        return None
+    fits = value.isNotNull()
+    if before > room:
+        limit = F.lit(10**room if after == 0 and room < 19 else Decimal(10**room))
+        fits = (value < limit) & (value > -limit)
+    if not f.signed:
+        fits = (value >= 0) & fits
+    digits = F.lpad(F.concat(text, F.lit("0" * (f.scale - after))) if f.scale > after else text, f.digits, "0")
+    if f.kind == "packed":
+        return fits, _packed_bytes(f, digits, value < 0)
+    page = "ascii" if o.codepage == "ascii" else "ebcdic"
+    return fits, _zone_bytes(f, digits, value < 0, (o.zoned_override or (page if o.zoned == "codepage" else o.zoned)) == "ebcdic")
+
+
+def shortened(f: Field, value: Column, o: Options, kind: DataType | None, e: Encoded) -> Encoded:
+    """What ``encode`` gave, with the short form before it, for a part of an array of the type ``kind`` (if known)."""
+    plain = _plain_number(f, value, o, kind)
+    return Encoded(F.when(plain[0], plain[1]).otherwise(e.data), e.error) if plain else e
+
+
 def encode(f: Field, value: Column, o: Options, said: Column | None = None) -> Encoded:
     """Exactly ``f.size`` bytes; a null value or an error gives zero bytes. ``said``: the zoned
     encoding that metadata names."""

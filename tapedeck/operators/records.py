@@ -8,7 +8,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, NumericType, StructField, StructType
 
 from ..errors import WARNINGS
 from ..functions import codepages
@@ -64,7 +64,7 @@ class Plan:
                     parts.append(value.alias(name))
                     faults += more
             return F.struct(*parts), faults
-        d = codec.decode(f, self.payload, offset, self.o)
+        d = codec.decode(f, self.payload, offset, self.o, nested)
         if not nested:
             self.good.append(d.good)
         return (d.text if self.lossless else d.value), [self._fault(d.error, f, offset)]
@@ -97,7 +97,7 @@ class Plan:
     def count(self, f: Field) -> tuple[Column, Column, Column]:
         """(elements, declared, fault) of a counter-dependent array."""
         c = self.layout.find(f.counter)
-        d = codec.decode(c, self.payload, c.offset, self.o)
+        d = codec.decode(c, self.payload, c.offset, self.o, True)
         declared = F.coalesce(d.value.cast("int"), F.lit(0))
         low = self.layout.least(f)
         if f.size:
@@ -116,14 +116,21 @@ class Plan:
             self.good.append(fault.isNull())
         else:
             n = F.lit(f.occurs)
-        indices = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        # Of a number that is worked out once: what a lambda runs over is interpreted as well.
+        indices = F.transform(F.array(n), lambda k: F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>")))[0]
         place = lambda i: i * f.size + offset
         value = F.transform(indices, lambda i: self._one(f, place(i), True)[0])
 
-        if not nested:
-            self.good.append(F.forall(value, lambda v: self._clean(f, v)))
         inside = lambda i: _together(self._one(f, place(i), True)[1])
-        return value, [*faults, Many(F.flatten(F.transform(indices, inside)))]
+        every = F.flatten(F.transform(indices, inside))
+        if not nested:
+            # One expression gives the elements and whether all are clean: it is worked out once
+            # for both, where a test of the elements alone would decode them again.
+            both = F.transform(F.array(value), lambda v: F.struct(v.alias("value"), F.forall(v, lambda e: self._clean(f, e)).alias("good")))[0]
+            value = both["value"]
+            self.good.append(both["good"])
+            every = F.when(both["good"], F.array().cast(_ERRORS)).otherwise(every.cast(_ERRORS))
+        return value, [*faults, Many(every)]
 
     def _first_name(self, top: list[Field]) -> str:
         return next(f.name for f in top if f.kind != "condition" and not (f.filler and not self.layout.emit_filler))
@@ -199,7 +206,8 @@ def encode(df: DataFrame, layout: Layout, *, options: Options | None = None, out
     o = options or Options(layout.codepage)
     faults: list[Column] = []
 
-    def of_group(fields: list[Field], get, size: int) -> Column:
+    def of_group(fields: list[Field], get, size: int, within: DataType | None, looped: bool) -> Column:
+        """``within``: the type that holds the fields; ``looped``: inside an array."""
         parts, at = [], fields[0].offset if fields else 0
         real = [f for f in fields if f.kind not in ("condition", "alias")]
         clusters: list[list[Field]] = []
@@ -214,13 +222,13 @@ def encode(df: DataFrame, layout: Layout, *, options: Options | None = None, out
                 parts.append(F.lit(b"\0" * (start - at)))
             room = max(v.extent for v in views)
             if len(views) == 1:
-                parts.append(of_field(views[0], get))
+                parts.append(of_field(views[0], get, within, looped))
             else:
                 pad = F.lit(b"\0" * room)
                 present = [get(v).isNotNull() for v in views]
                 chosen = F.when(F.lit(False), pad)
                 for v, p in zip(views, present):
-                    chosen = chosen.when(p, F.concat(of_field(v, get), pad).substr(1, room))
+                    chosen = chosen.when(p, F.concat(of_field(v, get, within, looped), pad).substr(1, room))
                 parts.append(chosen.otherwise(pad))
                 n = sum((p.cast("int") for p in present), F.lit(0))
                 faults.append(F.when(n > 1, fault("CBKE501", views[0])))
@@ -230,25 +238,29 @@ def encode(df: DataFrame, layout: Layout, *, options: Options | None = None, out
     def fault(code: str, f: Field) -> Column:
         return F.struct(F.lit(code).alias("code"), F.lit(f.path).alias("field_path"), F.lit(f.offset).alias("byte_offset"))
 
-    def of_element(f: Field, value: Column, inside: bool) -> Column:
+    def of_element(f: Field, value: Column, inside: bool, kind: DataType | None, looped: bool) -> Column:
         if f.kind == "group":
-            return of_group(f.children, lambda c: value[c.name] if not c.filler else F.lit(None), f.size)
+            return of_group(f.children, lambda c: value[c.name] if not c.filler else F.lit(None), f.size, kind, looped)
         said = F.try_element_at(F.col(zone_metadata), F.lit(f.name)) if zone_metadata and f.kind == "zoned" and not inside else None
         e = codec.encode(f, value, o, said)
+        if looped and said is None:
+            e = codec.shortened(f, value, o, kind, e)
         if f.kind == "text" and not coerce and not inside and names.get(f.name.lower()) in numeric:
             e = codec.Encoded(F.when(value.isNull(), e.data).otherwise(F.lit(b"\0" * f.size)), F.when(value.isNotNull(), F.lit("CBKE501")))
         if not inside:
             faults.append(F.when(e.error.isNotNull(), F.struct(e.error.alias("code"), F.lit(f.path).alias("field_path"), F.lit(f.offset).alias("byte_offset"))))
         return e.data
 
-    def of_field(f: Field, get) -> Column:
+    def of_field(f: Field, get, within: DataType | None, looped: bool) -> Column:
         if f.filler:
             return F.lit(b"\0" * f.extent)
         value = get(f)
+        kind = type_in(within, f)
         if not f.array:
-            return of_element(f, value, False)
+            return of_element(f, value, False, kind, looped)
+        kind = kind.elementType if isinstance(kind, ArrayType) else None
         before = len(faults)
-        each = F.transform(F.coalesce(value, F.array().cast(df_type(f))) if df_type(f) else value, lambda v: F.hex(of_element(f, v, True)))
+        each = F.transform(F.coalesce(value, F.array().cast(df_type(f))) if df_type(f) else value, lambda v: F.hex(of_element(f, v, True, kind, True)))
         del faults[before:]  # of elements: their errors cannot leave the lambda
         data = F.unhex(F.array_join(each, ""))
         if f.counter:
@@ -258,13 +270,17 @@ def encode(df: DataFrame, layout: Layout, *, options: Options | None = None, out
                 return F.coalesce(data, F.lit(b""))
         return F.concat(F.coalesce(data, F.lit(b"")), F.lit(b"\0" * f.extent)).substr(1, f.extent)
 
+    def type_in(within: DataType | None, f: Field) -> DataType | None:
+        found = [c.dataType for c in within if c.name.lower() == f.name.lower()] if isinstance(within, StructType) else []
+        return found[0] if len(found) == 1 else None
+
     def df_type(f: Field) -> str | None:
         return df.schema[f.name].dataType.simpleString() if f.name in df.columns else None
 
     names = {c.lower(): c for c in df.columns}
     numeric = {c.name for c in df.schema if isinstance(c.dataType, NumericType)}
     get = lambda f: F.col(f"`{names[f.name.lower()]}`") if f.name.lower() in names else F.lit(None)
-    data = of_group(layout.top(), get, layout.lrecl)
+    data = of_group(layout.top(), get, layout.lrecl, df.schema, False)
     if raw:
         replay = F.unbase64(F.col(raw))
         replay = replay.substr(F.lit(5), F.length(replay)) if raw_header else replay

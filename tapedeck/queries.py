@@ -210,7 +210,8 @@ LINES = """
 def order_lines(spark, sf_dir):
     """Orders with their lines as arrays: a group has as many rows as an order has lines."""
     one = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").cast("int").alias("LN"), cents("l_extendedprice").alias("P")).alias("line"))
-    g = one.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("line")).alias("LINES"))
+    # Dealt out first: an order's lines lie apart, so lists made before would have one line each.
+    g = one.repartition("l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("line")).alias("LINES"))
     return g.select(F.col("l_orderkey"), (F.col("l_orderkey") % 1_000_000_000).alias("K"), F.size("LINES").alias("N"), "LINES")
 
 
