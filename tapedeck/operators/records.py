@@ -190,7 +190,19 @@ def decode(df: DataFrame, layout: Layout, *, payload: str = "payload", options:
     # filter and for the value. Rows are left out by a generator of one row or none instead.
     once = F.when((F.size("_errors") == 0) | keeps, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
     names = [c for c in out.columns if c != "_errors"]
-    return out.select(*[F.col(f"`{c}`") for c in names], once.alias("_keep")).select(*[F.col(f"`{c}`") for c in names], F.explode("_keep").alias("_kept")).drop("_kept")
+    return elements(out.select(*[F.col(f"`{c}`") for c in names], once.alias("_keep")), "_keep", "_kept", keep=names).drop("_kept")
+
+
+def elements(df: DataFrame, array: str, name: str, *, keep: list[str]) -> DataFrame:
+    """One row ``name`` for each element of a decoded array, after the columns ``keep``. Elements
+    that are null are left out.
+
+    From ``explode`` the optimizer infers a filter for arrays that aren't empty, and pushes it
+    below the projection that decodes: each record would be decoded twice. It does not from
+    ``explode_outer``.
+    """
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.explode_outer(f"`{array}`").alias(name))
+    return rows.where(F.col(f"`{name}`").isNotNull())
 
 
 def encode(df: DataFrame, layout: Layout, *, options: Options | None = None, out: str = "payload", keep: list[str] | None = None, variable: bool = True, raw: str | None = None, verified: bool = False, raw_header: bool = False, zone_metadata: str | None = None, coerce: bool = True) -> DataFrame:

@@ -219,7 +219,7 @@ def order_lines(spark, sf_dir):
 def odo_tail(spark, sf_dir):
     layout = parse(LINES)
     r = records.decode(records.encode(order_lines(spark, sf_dir), layout, keep=["l_orderkey"]), layout, keep=["l_orderkey"])
-    x = r.select("l_orderkey", F.explode("LINES").alias("l"))
+    x = records.elements(r, "LINES", "l", keep=["l_orderkey"])
     return x.select("l_orderkey", F.col("l.LN").cast("bigint").alias("line"), (F.col("l.P") * 100).cast("bigint").alias("cents"))
 
 
